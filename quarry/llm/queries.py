@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import linededup, mixing, quality
-from quarry.llm.common import documents, lower_ascii, text_of  # noqa: F401
+from quarry.llm import bpe, linededup, minhash, mixing, quality
+from quarry.llm.common import documents, text_of
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(documents(spark, sf_dir).select("doc_id", "text")).select(*cols)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text's tokens and the bytes that they decode to, as digests."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    done = bpe.with_bytes(bpe.with_ids(documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "ids"), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components at 85 % of the three-word shingles; the smallest id stays."""
+    found = minhash.groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, its source's target, and the words that the mix takes of it."""
     return mixing.rates(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -27,5 +43,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", (F.col("n_lines") - kept).alias("n_dropped"), F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op7_minhash_dedup, op9_mixing, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
