@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, linededup, minhash, mixing, quality
+from quarry.llm import bpe, linededup, minhash, mixing, mpegts, quality
 from quarry.llm.common import documents, text_of
 
 
@@ -31,6 +31,16 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op8_mpeg_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as a transport stream, and what reading the stream gives."""
+    done = mpegts.with_features(mpegts.with_media(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_bytes", "media"))
+    entries = F.size(F.filter("times", lambda t: t["random_access"]))
+    feature = F.format_string("packets=%d;errors=%d;streams=%d;pes=%d;entries=%d;last_pts=%d", "packets", "errors", "streams", F.size("times"), entries, F.coalesce(F.get("times", F.size("times") - 1)["pts"], F.lit(-1)))
+    return done.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature")
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, its source's target, and the words that the mix takes of it."""
     return mixing.rates(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -43,5 +53,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", (F.col("n_lines") - kept).alias("n_dropped"), F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op7_minhash_dedup, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op7_minhash_dedup, op8_mpeg_ts, op9_mixing, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
