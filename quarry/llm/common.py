@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words: space, and tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -57,3 +59,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/quarry-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mapped(docs: DataFrame, row: Callable[[pa.RecordBatch], list[pa.Array]], new: list[T.StructField]) -> DataFrame:
+    """``docs`` with new columns from a function of a batch; a batch is cut by its bytes."""
+    names = {f.name.lower() for f in new}
+    stay = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() not in names]
+    schema = T.StructType([*(docs.schema.fields[i] for i in stay), *new])
+    labels = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, min(batch.num_rows, (8 << 20) * max(batch.num_rows, 1) // max(batch.nbytes, 1)))
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in stay), *row(part)], labels)
+
+    return docs.mapInArrow(run, schema)

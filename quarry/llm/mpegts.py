@@ -21,13 +21,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quarry.llm.common import mapped
+
 PACKET, SYNC = 188, 0x47
 PAT_PID, PMT_PID, DATA_PID = 0, 0x100, 0x101
 PROGRAM, STREAM_TYPE, STREAM_ID = 1, 0x06, 0xBD
@@ -225,7 +226,7 @@ def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
         texts = batch.column(at).to_pylist()
         return [pa.array([len((x or "").encode()) for x in texts], pa.int64()), pa.array([mux(padded(x)) for x in texts], pa.binary())]
 
-    return _mapped(docs, row, [T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())])
+    return mapped(docs, row, [T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())])
 
 
 def with_features(docs: DataFrame, media: str = "media") -> DataFrame:
@@ -248,21 +249,4 @@ def with_features(docs: DataFrame, media: str = "media") -> DataFrame:
         ]
 
     new = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("packets", T.LongType()), ("errors", T.LongType()), ("streams", T.LongType()), ("times", times)]
-    return _mapped(docs, row, [T.StructField(*f) for f in new])
-
-
-def _mapped(docs: DataFrame, row, new: list[T.StructField]) -> DataFrame:
-    """``docs`` with new columns from a function of a batch; a batch is cut by its bytes."""
-    names = {f.name.lower() for f in new}
-    stay = [i for i, f in enumerate(docs.schema.fields) if f.name.lower() not in names]
-    schema = T.StructType([*(docs.schema.fields[i] for i in stay), *new])
-    labels = [f.name for f in schema.fields]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = max(1, min(batch.num_rows, (8 << 20) * max(batch.num_rows, 1) // max(batch.nbytes, 1)))
-            for start in range(0, batch.num_rows, rows):
-                part = batch.slice(start, rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in stay), *row(part)], labels)
-
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, row, [T.StructField(*f) for f in new])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, linededup, minhash, mixing, mpegts, quality
+from quarry.llm import bpe, langid, linededup, mainhtml, minhash, mixing, mpegts, quality
 from quarry.llm.common import documents, text_of
 
 
@@ -15,6 +15,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measured(documents(spark, sf_dir).select("doc_id", "text")).select(*cols)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return mainhtml.with_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text's tokens and the bytes that they decode to, as digests."""
     import public_tokenizers
@@ -25,6 +31,14 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the rows that are not held out."""
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.fit(docs.filter(~held_out).select("text", "lang"))
+    return langid.with_language(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components at 85 % of the three-word shingles; the smallest id stays."""
     found = minhash.groups(documents(spark, sf_dir).select("doc_id", "text"))
@@ -53,5 +67,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", (F.col("n_lines") - kept).alias("n_dropped"), F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op7_minhash_dedup, op8_mpeg_ts, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_byte_bpe, op4_language_id, op7_minhash_dedup, op8_mpeg_ts, op9_mixing, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
