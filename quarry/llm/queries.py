@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, langid, linededup, mainhtml, minhash, mixing, mpegts, quality
+from quarry.llm import bpe, credentials, langid, linededup, mainhtml, minhash, mixing, mpegts, quality
 from quarry.llm.common import documents, text_of
 
 
@@ -39,6 +39,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every whole text: strong ones, and weak parts that belong together."""
+    found = credentials.findings(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["name"].isin(*credentials.BASE))
+    counts = [F.size(F.filter("spans", credentials.named(k))).cast("long").alias(f"n_{k}") for k in credentials.BASE]
+    return found.select("doc_id", *counts, F.sha2(F.encode(credentials.listed(base), "UTF-8"), 256).alias("base_sha256"), credentials.listed(F.col("spans")).alias("spans"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components at 85 % of the three-word shingles; the smallest id stays."""
     found = minhash.groups(documents(spark, sf_dir).select("doc_id", "text"))
@@ -67,5 +75,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", (F.col("n_lines") - kept).alias("n_dropped"), F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_byte_bpe, op4_language_id, op7_minhash_dedup, op8_mpeg_ts, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_byte_bpe, op4_language_id, op5_secret_scan, op7_minhash_dedup, op8_mpeg_ts, op9_mixing, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
