@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, credentials, langid, linededup, mainhtml, minhash, mixing, mpegts, quality
+from quarry.llm import bpe, credentials, langid, linededup, lmscore, mainhtml, minhash, mixing, mpegts, quality
 from quarry.llm.common import documents, text_of
 
 
@@ -47,6 +47,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.encode(credentials.listed(base), "UTF-8"), 256).alias("base_sha256"), credentials.listed(F.col("spans")).alias("spans"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document: the target are those labelled as of quality."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    chosen = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select(F.col("doc_id").alias("__id")).distinct()
+    flagged = docs.join(chosen, F.col("doc_id") == F.col("__id"), "left").select("text", F.col("__id").isNotNull().alias("target"))
+    return lmscore.with_scores(docs, flagged).drop("text")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components at 85 % of the three-word shingles; the smallest id stays."""
     found = minhash.groups(documents(spark, sf_dir).select("doc_id", "text"))
@@ -75,5 +83,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", (F.col("n_lines") - kept).alias("n_dropped"), F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_byte_bpe, op4_language_id, op5_secret_scan, op7_minhash_dedup, op8_mpeg_ts, op9_mixing, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_byte_bpe, op4_language_id, op5_secret_scan, op6_lm_scoring, op7_minhash_dedup, op8_mpeg_ts, op9_mixing, op10_line_dedup)}
 ORACLES: dict[str, str] = {}
