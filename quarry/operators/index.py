@@ -55,7 +55,11 @@ def updated(old: Index, corpus: DataFrame, changed: DataFrame) -> Index:
     """The index after changes: the changed ids' entries go, those still in the corpus come anew."""
     new = build(corpus.join(changed.select("db_id"), "db_id", "left_semi"))
     keep = changed.select("db_id")
-    return Index(old.postings.join(keep, "db_id", "left_anti").unionByName(new.postings), old.lengths.join(keep, "db_id", "left_anti").unionByName(new.lengths))
+
+    def kept(table: DataFrame) -> DataFrame:
+        return table.join(keep, "db_id", "left_anti").select(*table.columns)
+
+    return Index(kept(old.postings).unionByName(new.postings), kept(old.lengths).unionByName(new.lengths))
 
 
 def phrases(query: str) -> list[tuple[int, str, bool]]:
