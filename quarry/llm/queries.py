@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, credentials, langid, linededup, lmscore, mainhtml, minhash, mixing, mpegts, quality
-from quarry.llm.common import documents, text_of
+from quarry.llm.common import documents
+from quarry.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +85,3 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_byte_bpe, op4_language_id, op5_secret_scan, op6_lm_scoring, op7_minhash_dedup, op8_mpeg_ts, op9_mixing, op10_line_dedup)}
-ORACLES: dict[str, str] = {}
