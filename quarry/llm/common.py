@@ -40,6 +40,15 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def rekeyed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with its long keys as expressions of their own.
+
+    A join beside an aggregate on the same keys takes the aggregate's partitions as they are, and
+    then AQE may not split the other side's hot keys. New keys make the join shuffle both sides.
+    """
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

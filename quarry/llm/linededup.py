@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLANKS, lower_ascii, text_of
+from quarry.llm.common import BLANKS, lower_ascii, rekeyed, text_of
 
 #: A key found in so many documents is repeated text.
 MIN_DOCS = 10
@@ -56,7 +56,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     here = F.struct("doc_id", "th")
     seen = ranged.withColumn("new", F.coalesce(F.lag(here).over(stream) != here, F.lit(True)))
     repeats = seen.groupBy(*KEY).agg(F.sum(F.col("new").cast("long")).alias("n_docs"), F.min(F.when(F.col("new"), F.struct("doc_id", "th", "pos"))).alias("first")).filter(F.col("n_docs") >= min_docs)
-    dropped = occurrences(docs).join(repeats.select(*KEY, "first"), KEY)
+    dropped = occurrences(docs).join(rekeyed(repeats.select(*KEY, "first"), *KEY), KEY)
     if keep_first:
         dropped = dropped.filter(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
     return dropped.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
