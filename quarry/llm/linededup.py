@@ -10,7 +10,7 @@ document is its keep bitmap in run form (kept runs of line numbers), not its tex
 Defined cases: a null or empty text is one empty line; lines without a key are always kept; a
 key repeated inside one document counts that document once; rows with equal doc_id and text
 count as one document and get the same bitmap; an empty table gives an empty table; columns
-beyond doc_id and text are not read.
+beyond doc_id and text are passed on unread.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLANKS, lower_ascii, rekeyed, text_of
+from quarry.llm.common import BLANKS, let, lower_ascii, rekeyed, text_of
 
 #: A key found in so many documents is repeated text.
 MIN_DOCS = 10
@@ -69,13 +69,13 @@ def kept_runs(gone: Column, n_lines: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
-    """``docs`` with the new columns n_lines, keep (the bitmap in run form) and kept_text."""
-    gone = keep_bitmaps(docs, min_docs, keep_first)
-    g = gone.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), "gone")
-    own = docs.columns
-    joined = docs.withColumn("__own", text_hash()).join(g, F.col("__own").eqNullSafe(F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
-    lines = lines_of(text_of())
+    """``docs`` with the columns n_lines, keep (the bitmap in run form) and kept_text; a column of such a name is replaced."""
+    gone = keep_bitmaps(docs, min_docs, keep_first).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "keep", "kept_text")]
+    joined = docs.withColumn("__own", text_hash()).join(gone, F.col("__own").eqNullSafe(F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    lines, whole = lines_of(text_of()), F.col("__gone").isNull()
     n = F.size(lines)
-    keep = F.when(F.col("gone").isNull(), F.array(F.struct(F.lit(0).alias("start"), n.alias("len")))).otherwise(kept_runs(F.col("gone"), n))
-    kept = F.when(F.col("gone").isNull(), text_of()).otherwise(F.array_join(F.flatten(F.transform(kept_runs(F.col("gone"), n), lambda r: F.slice(lines, r["start"] + 1, r["len"]))), "\n"))
+    runs = kept_runs(F.col("__gone"), n)
+    keep = F.when(whole, F.array(F.struct(F.lit(0).alias("start"), n.alias("len")))).otherwise(runs)
+    kept = F.when(whole, text_of()).otherwise(let(lines, lambda x: F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(x, r["start"] + 1, r["len"]))), "\n")))
     return joined.select(*[F.col(f"`{c}`") for c in own], n.cast("long").alias("n_lines"), keep.cast(RUNS).alias("keep"), kept.alias("kept_text"))
