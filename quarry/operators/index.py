@@ -32,6 +32,48 @@ class Index:
     lengths: DataFrame  # db_id, n_tokens
 
 
+@dataclass(frozen=True)
+class PhraseIndex:
+    """The words and neighbouring words of the text that is scored, each once a record."""
+
+    words: DataFrame  # word, db_id
+    pairs: DataFrame  # first, second, db_id
+
+
+def build_phrases(corpus: DataFrame) -> PhraseIndex:
+    """The tables from which the text score can be had without the texts: distinct before any shuffle."""
+    body = F.split(text.normalise(F.concat_ws(" ", "issue_summary", "suggested_action", "resolution")), " ")
+    rows = corpus.select("db_id", body.alias("w"))
+    near = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
+    words = rows.select("db_id", F.explode(F.array_distinct("w")).alias("word")).filter("word != ''")
+    pairs = rows.select("db_id", F.explode(F.array_distinct(F.filter(near, lambda p: p["second"].isNotNull()))).alias("p")).select("p.first", "p.second", "db_id")
+    return PhraseIndex(words.select("word", "db_id"), pairs)
+
+
+def phrase_hits(found: PhraseIndex, query: str) -> DataFrame:
+    """(db_id, unigrams, bigrams): how many of the query's tokens and pairs a record contains, inside words too.
+
+    A token holds no blank, so a text contains it if one of its words does; it contains a pair if
+    a word that ends with the first stands before one that begins with the second.
+    """
+    tokens = text.query_tokens(query)
+    couples = list(zip(tokens, tokens[1:], strict=False))
+    zero = F.lit(0)
+
+    def counted(table: DataFrame, tests: list[Column], name: str) -> DataFrame:
+        if not tests:
+            return table.select("db_id").filter(F.lit(False)).withColumn(name, zero)
+        either = tests[0]
+        for t in tests[1:]:
+            either = either | t
+        flags = [F.max(t.cast("int")).alias(f"t{i}") for i, t in enumerate(tests)]
+        return table.filter(either).groupBy("db_id").agg(*flags).select("db_id", sum((F.col(f"t{i}") for i in range(len(tests))), zero).alias(name))
+
+    singles = counted(found.words, [F.contains(F.col("word"), F.lit(t)) for t in tokens], "unigrams")
+    doubles = counted(found.pairs, [F.endswith(F.col("first"), F.lit(a)) & F.startswith(F.col("second"), F.lit(b)) for a, b in couples], "bigrams")
+    return singles.join(doubles, "db_id", "full_outer").select("db_id", F.coalesce("unigrams", zero).alias("unigrams"), F.coalesce("bigrams", zero).alias("bigrams"))
+
+
 def folded(column: Column) -> Column:
     """Lower case without accents."""
     return F.translate(F.lower(column), ACCENTED, PLAIN)

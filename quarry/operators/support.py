@@ -28,9 +28,12 @@ class Ask:
     vehicle_model: str | None = None
 
 
-def parts(ask: Ask) -> dict[str, Column]:
-    """Every part of the score. Doubles, added from left to right in the order of PARTS."""
-    bigram, unigram, words = text.text_parts(ask.query)
+def parts(ask: Ask, shares: tuple[Column, Column, Column] | None = None) -> dict[str, Column]:
+    """Every part of the score. Doubles, added from left to right in the order of PARTS.
+
+    ``shares`` are the bigram share, the unigram share and the text score, if known without the texts.
+    """
+    bigram, unigram, words = shares or text.text_parts(ask.query)
     provider = record.query_provider(ask.query)
     zero = F.lit(0.0)
     ip = F.when(F.col("ip") == provider, PROVIDER_BOOST).otherwise(0.0) if provider else zero
@@ -55,9 +58,9 @@ def parts(ask: Ask) -> dict[str, Column]:
     }
 
 
-def scored(corpus: DataFrame, ask: Ask) -> DataFrame:
+def scored(corpus: DataFrame, ask: Ask, shares: tuple[Column, Column, Column] | None = None) -> DataFrame:
     """The corpus with the parts as columns, and their sum held between 0 and 1 as ``score``."""
-    rows = corpus.withColumns(parts(ask))
+    rows = corpus.withColumns(parts(ask, shares))
     total = sum((F.col(p) for p in PARTS[3:]), F.col("text"))
     return rows.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
@@ -87,6 +90,23 @@ def find_supporting_indexed(corpus: DataFrame, postings: index.Index, ask: Ask,
     return ranked(scored(corpus.join(candidates, "db_id", "left_semi"), ask), limit).withColumn("snippet", text.snippet_token(ask.query))
 
 
+NARROW = ("db_id", "ip", "inquiry_type", "vehicle_year", "vehicle_make", "vehicle_model", "submitted_at", "resolved_at")
+
+
+def find_supporting_exact(corpus: DataFrame, phrases: index.PhraseIndex, ask: Ask, limit: int = 5) -> DataFrame:
+    """The scan's answer without reading the texts: their share of the score comes from the phrase index.
+
+    All records are ranked, on their narrow columns; only the ``limit`` best are read in full.
+    """
+    tokens = text.query_tokens(ask.query)
+    shares = [F.coalesce(F.col(c), F.lit(0)) / F.lit(float(n)) if n else F.lit(0.0) for c, n in (("bigrams", len(tokens) - 1 if tokens else 0), ("unigrams", len(tokens)))]
+    words = F.least(F.lit(1.0), shares[0] * text.BIGRAM_WEIGHT + shares[1] * text.UNIGRAM_WEIGHT)
+    rows = corpus.select(*NARROW).join(index.phrase_hits(phrases, ask.query), "db_id", "left")
+    best = ranked(scored(rows, ask, (shares[0], shares[1], words)), limit).select("db_id", *[F.col(p).alias(f"_{p}") for p in (*PARTS, "score")])
+    whole = corpus.join(F.broadcast(best), "db_id").withColumns({p: F.col(f"_{p}") for p in (*PARTS, "score")})
+    return ranked(whole, limit).withColumn("snippet", text.snippet_token(ask.query)).drop(*[f"_{p}" for p in (*PARTS, "score")])
+
+
 def payload() -> Column:
     """What a hit tells: rounded confidence and shares, the parts, vehicle, snippet and citation."""
     return F.struct(

@@ -283,6 +283,8 @@ ORACLES: dict[str, str] = {
     "postings": corpus("").rstrip() + INDEX + " SELECT term, db_id, f FROM post",
     "candidate_pool": corpus("").rstrip() + POOL + " SELECT db_id FROM pool",
     "find_supporting_two_arm": supported(Q3, "2026-05-07 12:00:00", where="WHERE db_id IN (SELECT db_id FROM pool)", more=POOL),
+    "find_supporting_exact": supported(Q3, "2026-05-07 12:00:00"),
+    "phrase_hits": f"WITH {CORPUS}{support(['ri', 'thing', 'atti'], '2019-05-07 12:00:00', None, None, '', '')} SELECT db_id, round(unigram * 3)::INT AS unigrams, round(bigram * 2)::INT AS bigrams FROM s WHERE unigram > 0 OR bigram > 0",
     "snippet_literal": corpus(f"SELECT id, {excerpt(['the thing'])} AS snippet FROM corpus"),
     "snippet_token": corpus(f"SELECT id, {excerpt(['attion', 'erble'])} AS snippet FROM corpus"),
     "citation": corpus("SELECT id, 'QIG #' || id || ' (' || strftime(effective, '%-m/%-d/%Y') || ')' AS short_form, concat_ws(', ', 'Quarry Inquiry Gateway inquiry #' || id, 'resolved ' || strftime(resolved_at, '%-m/%-d/%Y'), url) AS long_form FROM c"),

@@ -23,7 +23,7 @@ from quarry.operators import index, search, support
 
 #: Seconds that a finished result is kept, and how many are.
 KEEP_SECONDS, KEEP = 3600, 1024
-#: Records from which on find_supporting goes through the index.
+#: Records from which on find_supporting leaves the texts alone, given a phrase index.
 INDEX_FROM = 1_000_000
 NOUNS = "inquiries"
 
@@ -56,9 +56,9 @@ class Cache:
 
 
 class Engine:
-    def __init__(self, corpus: DataFrame, found: index.Index | None = None, version: str = "", cache: Cache | None = None) -> None:
+    def __init__(self, corpus: DataFrame, found: index.Index | None = None, version: str = "", cache: Cache | None = None, phrases: index.PhraseIndex | None = None) -> None:
         self.corpus, self.version = corpus, version
-        self.index = found
+        self.index, self.phrases = found, phrases
         self.cache = cache or Cache()
 
     def _kept(self, op: str, params: dict[str, Any], make: Callable[[], Any]) -> Any:
@@ -120,12 +120,18 @@ class Engine:
         return self._dated(dict(self._kept("recent", {"s": since, "l": most}, ask)), note)
 
     def find_supporting(self, ask: support.Ask, limit: int | None = None, indexed: bool | None = None) -> dict[str, Any]:
-        """Records for a line item with the parts of their scores, by the scan or through the index."""
+        """Records for a line item with the parts of their scores.
+
+        By the scan; on a large corpus by the phrase index, which gives the same; or, if asked
+        for, out of the bounded pool of candidates.
+        """
         most = search.clamped(limit, search.FIND_LIMIT)
-        through = self._large() if indexed is None else indexed
+        through = bool(indexed)
 
         def run() -> dict[str, Any]:
-            if through:
+            if indexed is None and self.phrases is not None and self._large():
+                rows = support.find_supporting_exact(self.corpus, self.phrases, ask, most)
+            elif through:
                 rows = support.find_supporting_indexed(self.corpus, self._index(), ask, most) if query_tokens(ask.query) else None
             else:
                 rows = support.find_supporting(self.corpus, ask, most)

@@ -148,6 +148,17 @@ def find_supporting_two_arm(s, d):
     return _supported(support.find_supporting_indexed(corpus, index.build(corpus), support.Ask(QUERY, NOW), 20))
 
 
+@query
+def find_supporting_exact(s, d):
+    corpus = views.corpus(s, d)
+    return _supported(support.find_supporting_exact(corpus, index.build_phrases(corpus), support.Ask(QUERY, NOW), 20))
+
+
+@query
+def phrase_hits(s, d):
+    return index.phrase_hits(index.build_phrases(views.corpus(s, d)), MIXED)
+
+
 @query
 def snippet_literal(s, d):
     return views.corpus(s, d).select("id", text.snippet_literal("The thing").alias("snippet"))

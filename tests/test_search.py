@@ -28,6 +28,12 @@ def found(corpus):
     return index.Index(made.postings.persist(), made.lengths.persist())
 
 
+@pytest.fixture(scope="module")
+def phrases(corpus):
+    made = index.build_phrases(corpus)
+    return index.PhraseIndex(made.words.persist(), made.pairs.persist())
+
+
 def record(spark, **values):
     row = {f.name: None for f in tables.SERVED.fields} | {"db_id": 1, "id": "1", "inquiry_number": "1", "title": "t", "url": "u", "status": "pending", "metadata": "{}"} | values
     fields = [f"{f.name} {'string' if f.name in ('submitted_at', 'resolved_at', 'last_updated') else f.dataType.simpleString()}" for f in tables.SERVED.fields]
@@ -77,6 +83,13 @@ def test_indexed_answer_equals_the_scan_of_what_matches(corpus, found, query):
     assert a == b
 
 
+@pytest.mark.parametrize("query", [*PANEL, "the of and"])
+def test_phrase_index_gives_the_scan_itself(corpus, phrases, query):
+    for ask in (support.Ask(query, NOW), support.Ask(query, "2016-01-01T00:00:00Z", 2011, "rover", "sport")):
+        a = support.find_supporting(corpus, ask, 5).select("id", "score", *support.PARTS, "snippet").collect()
+        assert a == support.find_supporting_exact(corpus, phrases, ask, 5).select("id", "score", *support.PARTS, "snippet").collect()
+
+
 def test_bm25_equals_sqlite(corpus, found):
     con = sqlite3.connect(":memory:")
     names = list(index.WEIGHTS)
