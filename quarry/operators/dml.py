@@ -139,3 +139,31 @@ def recorded(items: DataFrame, outcomes: DataFrame, now: str) -> DataFrame:
 def pairs_upserted(pairs: DataFrame, new: DataFrame) -> DataFrame:
     """A key/value table with the new values."""
     return pairs.join(new.select("key"), "key", "left_anti").unionByName(new.select("key", "value"))
+
+
+RUNS = "run_id long, started_at string, finished_at string, mode string, refresh_window int, index_max_db_id long, index_count long, status string"
+
+
+def run_started(runs: DataFrame, mode: str, window: int, index_max: int | None, index_count: int | None, now: str) -> DataFrame:
+    """The runs with a new one, numbered after the last."""
+    number = runs.agg((F.coalesce(F.max("run_id"), F.lit(0)) + 1).cast("long").alias("run_id"))
+    new = number.select("run_id", F.lit(now).alias("started_at"), F.lit(None).cast("string").alias("finished_at"), F.lit(mode).alias("mode"), F.lit(window).alias("refresh_window"), F.lit(index_max).cast("long").alias("index_max_db_id"), F.lit(index_count).cast("long").alias("index_count"), F.lit("running").alias("status"))
+    return runs.unionByName(new)
+
+
+def run_finished(runs: DataFrame, run_id: int, status: str, now: str) -> DataFrame:
+    mine = C("run_id") == run_id
+    return runs.withColumns({"status": F.when(mine, status).otherwise(C("status")), "finished_at": F.when(mine, now).otherwise(C("finished_at"))})
+
+
+def resumable(runs: DataFrame) -> DataFrame:
+    """The newest run that still has work: one row or none."""
+    return runs.filter(C("status").isin("running", "interrupted")).orderBy(F.desc("run_id")).limit(1)
+
+
+def advanced(pairs: DataFrame, items: DataFrame, runs: DataFrame, run_id: int) -> DataFrame:
+    """The key/value table after a run: the high-water mark moves to the index's greatest id only if no new item is left in the queue."""
+    mine = C("run_id") == run_id
+    left = items.filter(mine & (C("pass") == "new")).agg(F.count_if(C("state") == "queued").alias("left"))
+    top = runs.filter(mine & C("index_max_db_id").isNotNull()).select(C("index_max_db_id").cast("string").alias("value"))
+    return pairs_upserted(pairs, top.join(F.broadcast(left)).filter(C("left") == 0).select(F.lit("last_id").alias("key"), "value"))

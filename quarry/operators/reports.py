@@ -30,6 +30,11 @@ def run_summary(items: DataFrame) -> DataFrame:
     return items.groupBy("run_id").agg(*states, F.count("*").alias("total"))
 
 
+def queued(items: DataFrame) -> DataFrame:
+    """Items still queued, by run and pass."""
+    return items.filter("state = 'queued'").groupBy("run_id", "pass").agg(F.count("*").alias("n"))
+
+
 def change_histogram(items: DataFrame) -> DataFrame:
     """How often each field changed in refresh passes."""
     changed = items.filter("pass = 'refresh' and changed = 1").select(F.explode(F.split("changed_fields", ",")).alias("field")).filter("field != ''")

@@ -75,6 +75,12 @@ def get_by_id(corpus: DataFrame, ident: str | int) -> DataFrame:
     return corpus.filter(F.col("db_id") == int(ident)) if ident.isascii() and ident.isdigit() and int(ident) < 1 << 63 else corpus.filter(F.lit(False))
 
 
+def find_baseline(corpus: DataFrame, query: str, year: int | None = None, make: str | None = None, model: str | None = None, limit: int = 5) -> DataFrame:
+    """Search with the vehicle as filters, its score read as confidence: what support scoring is measured against."""
+    filters = {k: v for k, v in (("vehicle_year", year), ("vehicle_make", make), ("vehicle_model", model)) if v is not None}
+    return search(corpus, query, filters, limit).withColumnRenamed("score", "confidence")
+
+
 def hit_payload() -> Column:
     """What a search result shows of a record."""
     return F.struct("id", "title", "url", "score", "snippet", F.col("status"), record.citation()["short_form"].alias("citation"))

@@ -108,11 +108,11 @@ def find_supporting_exact(corpus: DataFrame, phrases: index.PhraseIndex, ask: As
 
 
 def payload() -> Column:
-    """What a hit tells: rounded confidence and shares, the parts, vehicle, snippet and citation."""
+    """What a hit tells: confidence and the parts of the score, vehicle, snippet and citation. Rounding is left to the caller."""
     return F.struct(
         F.col("id"),
-        F.round("score", 3).alias("confidence"),
-        F.struct(*[F.round(p, 3).alias(p) for p in PARTS[:3]], *PARTS[3:], F.col("score").alias("total")).alias("breakdown"),
+        F.col("score").alias("confidence"),
+        F.struct(*PARTS, F.col("score").alias("total")).alias("breakdown"),
         F.struct("vehicle_year", "vehicle_make", "vehicle_model").alias("vehicle"),
         "snippet",
         record.citation().alias("citation"),

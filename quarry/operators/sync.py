@@ -79,6 +79,11 @@ def dead_ids(held: DataFrame) -> DataFrame:
     return held.filter("dead_at is not null").select("db_id")
 
 
+def gap_ids(live: DataFrame, held: DataFrame, high_water: DataFrame) -> DataFrame:
+    """New ids at or below the high-water mark (one row): gaps, not growth."""
+    return new_ids(live, held).join(F.broadcast(high_water.select("high_water"))).filter("db_id <= high_water").select("db_id")
+
+
 def queue(live: DataFrame, held: DataFrame, today: str, window: int, index_only: bool = False) -> DataFrame:
     """(pass, db_id): new ids, and the union of the cohorts to refresh without what was just delisted, is dead or is new."""
     fresh = new_ids(live, held)

@@ -309,6 +309,9 @@ ORACLES: dict[str, str] = {
     "plan_sanity": both(
         f"SELECT held, live, max_id, delisted, live / held AS share, live / held >= 0.9 AS covered, delisted <= 50 AS bounded, live / held >= 0.9 AND delisted <= 50 AS ok FROM (SELECT (SELECT count(*) FROM raw WHERE delisted_at IS NULL) AS held, (SELECT count(*) FROM live) AS live, (SELECT max(db_id) FROM live) AS max_id, (SELECT count(*) FROM ({DELISTED})) AS delisted)"
     ),
+    "gaps_below_high_water": both(f"SELECT db_id FROM ({NEW}) WHERE db_id <= (SELECT max(db_id) FROM raw)"),
+    "queued_items": f"WITH {ITEMS} SELECT run_id, pass, count(*) AS n FROM items WHERE state = 'queued' GROUP BY ALL",
+    "find_baseline": corpus(f"SELECT id, score AS confidence, {excerpt(['thing the'])} AS snippet FROM (SELECT *, {cover(['thing', 'the'])} AS score FROM corpus WHERE vehicle_year = 2011 AND contains(lower(vehicle_make), 'rover') AND contains(lower(vehicle_model), 'sport')) WHERE score > 0 ORDER BY score DESC, submitted_at DESC, db_id LIMIT 20"),
     "queue_estimate": both(f"SELECT pass, count(*) AS n, round(count(*) * 2 / 60)::BIGINT AS minutes, ceil(count(*) / 500)::BIGINT AS batches FROM ({QUEUE}) GROUP BY pass"),
     "upsert_metadata": both(", " + UP + " SELECT db_id, database, status, resolution_status, year, make, model, resolution_date, source_url, body_fetched_at, last_seen_at, issue_summary FROM up"),
     "delist_stamp": both(f"SELECT db_id, CASE WHEN db_id IN ({DELISTED}) THEN {STAMP} WHEN db_id IN ({REAPPEARED}) THEN NULL ELSE delisted_at END AS delisted_at FROM raw"),

@@ -10,6 +10,7 @@ import json
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 from time import monotonic
 from typing import Any, Protocol
 
@@ -135,7 +136,11 @@ class Engine:
                 rows = support.find_supporting_indexed(self.corpus, self._index(), ask, most) if query_tokens(ask.query) else None
             else:
                 rows = support.find_supporting(self.corpus, ask, most)
-            return {"results": [r["hit"].asDict(True) for r in rows.select(support.payload().alias("hit")).collect()] if rows is not None else []}
+            found = [r["hit"].asDict(True) for r in rows.select(support.payload().alias("hit")).collect()] if rows is not None else []
+            for hit in found:
+                hit["confidence"] = rounded(hit["confidence"])
+                hit["breakdown"] |= {p: rounded(hit["breakdown"][p]) for p in support.PARTS[:3]}
+            return {"results": found}
 
         return self._dated(dict(self._kept("find", {**asdict(ask), "l": most, "i": through}, run)), self._recency(ask.query))
 
@@ -171,6 +176,11 @@ class Engine:
         return self.index
 
 
+def rounded(value: float) -> float:
+    """Three decimals of the exact binary value, halves up: 1.0005, which is a little less, gives 1.0."""
+    return float(Decimal(value).quantize(Decimal("0.001"), ROUND_HALF_UP))
+
+
 def encoded(payload: dict[str, Any]) -> dict[str, Any]:
     """A payload as text and as it is, for callers that read either."""
     return {"text": json.dumps(payload, default=str, ensure_ascii=False, indent=2), "structured": payload}

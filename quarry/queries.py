@@ -251,6 +251,22 @@ def plan_sanity(s, d):
     return sync.plan_sanity(_live(s, d), views.raw(s, d))
 
 
+@query
+def gaps_below_high_water(s, d):
+    held = views.raw(s, d)
+    return sync.gap_ids(_live(s, d), held, reports.high_water(held))
+
+
+@query
+def queued_items(s, d):
+    return reports.queued(views.queue_items(s, d))
+
+
+@query
+def find_baseline(s, d):
+    return search.find_baseline(views.corpus(s, d), "thing the", 2011, "rover", "sport", 20).select("id", "confidence", "snippet")
+
+
 @query
 def queue_estimate(s, d):
     return reports.estimate(sync.queue(_live(s, d), views.raw(s, d), TODAY, WINDOW))

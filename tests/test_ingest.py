@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import record
 from quarry.operators import dml, reports, serve, sync
-from quarry.sources import html, tables, views
+from quarry.sources import fetch, html, sinks, tables, views
 from quarry.streaming import ingest
 
 C = F.col
@@ -278,3 +278,66 @@ def test_stream_of_snapshots(spark, tmp_path):
     with pytest.raises(Exception, match="covers 1 of"):
         run()
     assert store.versions() == [1, 2]
+
+
+def test_fetch_tries_again_and_tells_what_is_gone():
+    pauses = []
+
+    def run(*answers, retries=2):
+        left = list(answers)
+
+        def get(url):
+            got = left.pop(0)
+            if isinstance(got, Exception):
+                raise got
+            return got
+
+        return fetch.fetch(7, get, retries=retries, sleep=pauses.append)
+
+    here = "https://inquiries.example/7/"
+    assert run(fetch.Answer(503, here), OSError("reset"), fetch.Answer(200, here, "page")) == (200, None, "page")
+    assert pauses == [10.0, 20.0]
+    assert run(fetch.Answer(404, here))[:2] == (404, "not found")
+    assert run(fetch.Answer(200, "https://inquiries.example/list/"))[1].startswith("soft-404")
+    assert run(*[fetch.Answer(500, here)] * 3)[:2] == (500, "gave up after 2 retries on status 500")
+    assert run(*[OSError("x")] * 3)[0] == 0
+    assert run(fetch.Answer(403, here))[:2] == (403, "unexpected status")
+
+
+def test_fetched_pages_feed_the_state_machines(spark):
+    def get(url):
+        number = int(url.rstrip("/").rpartition("/")[2])
+        return fetch.Answer(404 if number % 3 == 0 else 200, url, f"<p>{number}</p>")
+
+    got = fetch.fetched(spark.range(9).withColumnRenamed("id", "db_id").repartition(2), get, pace=0.0).collect()
+    assert sorted(r["db_id"] for r in got if r["http_status"] == 404) == [0, 3, 6] and all(r["html"] == f"<p>{r['db_id']}</p>" for r in got if r["http_status"] == 200)
+
+
+def test_runs(spark):
+    runs = dml.run_started(spark.createDataFrame([], dml.RUNS), "delta", 300, 50, 40, NOW)
+    runs = dml.run_started(dml.run_finished(runs, 1, "completed", "later"), "delta", 300, 90, 80, NOW)
+    assert [(r["run_id"], r["status"], r["finished_at"]) for r in runs.orderBy("run_id").collect()] == [(1, "completed", "later"), (2, "running", None)]
+    assert dml.resumable(runs).first()["run_id"] == 2 and dml.resumable(dml.run_finished(runs, 2, "completed", NOW)).count() == 0
+    pairs = spark.createDataFrame([("last_id", "50")], tables.PAIRS)
+    for state, mark in (("queued", "50"), ("written", "90")):
+        items = spark.createDataFrame([(2, 60, "new", state), (2, 3, "refresh", "queued")], "run_id long, db_id long, pass string, state string")
+        assert dml.advanced(pairs, items, runs, 2).first()["value"] == mark
+
+
+def test_sinks(spark, sf_dir, tmp_path):
+    from quarry.operators import index
+
+    corpus = views.corpus(spark, sf_dir)
+    n = corpus.count()
+    sinks.write_corpus(corpus, str(tmp_path / "dry"), dry_run=True)
+    assert not (tmp_path / "dry").exists()
+    sinks.write_corpus(corpus, str(tmp_path / "c"))
+    sinks.write_json(corpus, str(tmp_path / "j"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == spark.read.json(str(tmp_path / "j")).count() == n
+    sinks.write_freshness(corpus, str(tmp_path / "f"))
+    assert tables.pairs(spark, str(tmp_path / "f")).count() == 3
+    found = index.build(corpus)
+    sinks.write_index(found, str(tmp_path / "i"))
+    assert index.fts_match(sinks.read_index(spark, str(tmp_path / "i")), "thing").count() == index.fts_match(found, "thing").count()
+    sinks.write_statements(corpus.filter(F.length("resolution") < 50_000).select("*").limit(20), "inquiry", str(tmp_path / "s"))
+    assert spark.read.text(str(tmp_path / "s"), wholetext=True).count() >= 1

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import index, search, support
-from quarry.plans.engine import Cache, Engine, encoded
+from quarry.plans.engine import Cache, Engine, encoded, rounded
 from quarry.sources import tables, views
 from quarry.sources.views import NOW
 
@@ -150,6 +150,10 @@ def test_engine_answers(corpus):
     assert "results" in encoded(hits)["structured"]
 
 
+def test_rounding_is_of_the_binary_value():
+    assert [rounded(x) for x in (1.0005, 0.0625, 0.1235, 2 / 3)] == [1.0, 0.063, 0.123, 0.667]
+
+
 def test_results_are_kept_for_a_while():
     now, made = [0.0], []
     cache = Cache(seconds=10, most=2, clock=lambda: now[0])
