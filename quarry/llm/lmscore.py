@@ -33,37 +33,36 @@ from quarry.llm.common import mapped, text_of, words_of
 VOCABULARY, MU = 1024, 8.0
 #: Tokens that a worker holds before it reduces them to counts; shapes that it remembers.
 CHUNK, SHAPES_KEPT = 2_000_000, 200_000
-#: Shapes of words outside the vocabulary, tried in order, and the mark of a text's start.
-SHAPES = tuple(
-    re.compile(p)
-    for p in (r"[\W_]*\d[\d\W_]*$", r"[\W_]+$", r".*[#$%&*<>|{}=~^\\]", r".*[!?]{2}", r"\W*[^\W\d_]?[A-ZÀ-Þ]{2,}\W*$", r".*\d", r".{25}", r"[^\W\d_]{1,3}[.,;:]?$", r"[^\W\d_]{4,8}[.,;:]?$", r"")
-)
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Shapes of words outside the vocabulary, tried in order.
+SHAPES = (r"[\W_]*\d[\d\W_]*$", r"[\W_]+$", r".*[#$%&*<>|{}=~^\\]", r".*[!?]{2}", r"\W*[^\W\d_]?[A-ZÀ-Þ]{2,}\W*$", r".*\d", r".{25}", r"[^\W\d_]{1,3}[.,;:]?$", r"[^\W\d_]{4,8}[.,;:]?$", r"")
+SHAPE = re.compile("|".join(f"({s})" for s in SHAPES), re.S)
 
 
 class Tokens(dict):
-    """Words to token numbers: 0 is a text's start, then the vocabulary, then the shapes."""
+    """Words, as UTF-8, to token numbers: 0 is a text's start, then the vocabulary, then the shapes.
+
+    Bytes split at exactly the blanks that separate words, and texts come from Arrow as bytes.
+    """
 
     def __init__(self, vocabulary: list[str]) -> None:
-        super().__init__({w: i for i, w in enumerate(vocabulary, 1)})
+        super().__init__({w.encode(): i for i, w in enumerate(vocabulary, 1)})
+        self[b""] = 0
         self.known = len(vocabulary)
         self.size = 1 + len(vocabulary) + len(SHAPES)
 
-    def __missing__(self, word: str) -> int:
-        number = 1 + self.known + next(i for i, s in enumerate(SHAPES) if s.match(word))
+    def __missing__(self, word: bytes) -> int:
+        number = self.known + SHAPE.match(word.decode()).lastindex
         if len(self) < self.known + SHAPES_KEPT and len(word) <= 32:
             self[word] = number
         return number
 
-    def of(self, text: str | None) -> np.ndarray:
+    def of(self, text: bytes | None) -> np.ndarray:
         """The token numbers of a text, its start first."""
-        return np.fromiter(map(self.__getitem__, ["", *WORD.findall(text)] if text else [""]), np.int64)
+        return np.array(list(map(self.__getitem__, [b"", *text.split()] if text else [b""])), np.int64)
 
 
-def numbered(vocabulary: list[str]) -> Tokens:
-    tokens = Tokens(vocabulary)
-    dict.__setitem__(tokens, "", 0)
-    return tokens
+def as_bytes(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
 
 
 def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
@@ -78,7 +77,7 @@ def pair_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = numbered(shared.value)
+        tokens = Tokens(shared.value)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         codes: list[np.ndarray] = []
         flags: list[np.ndarray] = []
@@ -98,7 +97,7 @@ def pair_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
                 held[:] = [(keys, sums)]
 
         for batch in batches:
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, target in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 ids = tokens.of(text)
                 codes.append(ids[:-1] * tokens.size + ids[1:])
                 flags.append(np.full(len(ids) - 1, int(bool(target)), np.int64))
@@ -130,17 +129,17 @@ def with_scores(docs: DataFrame, flagged: DataFrame, size: int = VOCABULARY) ->
     vocabulary = vocabulary_of(flagged, size)
     found = pair_counts(flagged.select("text", "target"), vocabulary).toArrow()
     pairs, n, t = (found.column(c).to_numpy() for c in ("pair", "n", "t"))
-    count = numbered(vocabulary).size
+    count = Tokens(vocabulary).size
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, np.stack([losses(pairs, t, count), losses(pairs, n, count)]).reshape(2, -1)))
     at = docs.columns.index("text")
     own: list = []
 
     def row(batch: pa.RecordBatch) -> list[pa.Array]:
         if not own:
-            own.append(numbered(shared.value[0]))
+            own.append(Tokens(shared.value[0]))
         tokens, (target, background) = own[0], shared.value[1]
         out = []
-        for text in batch.column(at).to_pylist():
+        for text in as_bytes(batch.column(at)):
             ids = tokens.of(text)
             code = ids[:-1] * tokens.size + ids[1:]
             k = len(code)

@@ -169,8 +169,8 @@ def test_lm_scores_equal_a_plain_model(make):
     size = 3
     got = {r["doc_id"]: r for r in lmscore.with_scores(df.select("doc_id", "text"), df.select("text", "target"), size).collect()}
     seen = {w: sum(w in brute.words(t) for t in rows) for w in set(brute.words(" ".join(t or "" for t in rows)))}
-    tokens = lmscore.numbered([w.encode() if isinstance(next(iter(lmscore.numbered(["x"]))), bytes) else w for w in sorted(seen, key=lambda w: (-seen[w], w))[:size]])
-    ids = {i: tokens.of((t or "").encode() if isinstance(next(iter(tokens)), bytes) else t).tolist() for i, t in enumerate(rows)}
+    tokens = lmscore.Tokens(sorted(seen, key=lambda w: (-seen[w], w))[:size])
+    ids = {i: tokens.of((t or "").encode()).tolist() for i, t in enumerate(rows)}
 
     def model(docs):
         c = np.zeros((tokens.size, tokens.size))
