@@ -48,6 +48,8 @@ BAD = dict.fromkeys(
     "nav navbar navigation menu sidebar aside footer header masthead banner ad ads advert advertisement adverts advertising sponsor sponsored promo promotion cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription comment comments disqus reply replies respond related recommended share sharing social breadcrumb breadcrumbs pagination pager widget login signup search toolbar tags legal copyright disclaimer complementary contentinfo skip hidden".split(),
     -9.0,
 )
+#: What an article's own class may say against it; other words there are about its page.
+STRAY = {n: BAD[n] for n in "ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split()}
 STOCK = re.compile(r"©|\ball rights reserved\b|\bcopyright\b|\bcookies?\b|\bsign up\b|\blog ?in\b|\bsubscribe\b|\bprivacy policy\b", re.I)
 BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKED, STOCK_WEIGHT = -0.6, 0.06, 30, 0.7, -5.0, -3.0
 #: Edge weights: neighbours in the page, and nearness in the element tree.
@@ -62,6 +64,7 @@ class Element:
     weight: float
     unseen: bool
     linked: bool
+    story: bool  # in an article
 
 
 @dataclass
@@ -73,19 +76,21 @@ class Block:
 
 def element(tag: str, attributes: str, parent: Element | None) -> Element:
     """An element with the evidence of its name and marks, added to what stands around it."""
-    weight, unseen = TAGS.get(tag, 0.0), tag in UNSEEN
+    story = parent is not None and parent.story
+    weight, unseen = 0.0 if story and tag == "article" else TAGS.get(tag, 0.0), tag in UNSEEN
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
             name = (m[1] or m[5] or "").lower()
             if name in ("class", "id", "role"):
                 names = NAMES.findall(unescape(m[2] or m[3] or m[4] or "").lower())
-                weight += min((BAD[n] for n in names if n in BAD), default=0.0) if tag not in ("body", "html", "article", "main") else 0.0
+                known = STRAY if tag == "article" else {} if tag in ("body", "html", "main") else BAD
+                weight += min((known[n] for n in names if n in known), default=0.0)
                 weight += max((GOOD[n] for n in names if n in GOOD), default=0.0)
             elif name == "hidden" or name == "aria-hidden" and "true" in m[0].lower() or name == "style" and re.search(r"display\s*:\s*none", m[0], re.I):
                 unseen = True
     if parent is None:
-        return Element(tag, None, 0, weight, unseen, tag == "a")
-    return Element(tag, parent, parent.depth + 1, parent.weight + weight, unseen or parent.unseen, tag == "a" or parent.linked)
+        return Element(tag, None, 0, weight, unseen, tag == "a", tag == "article")
+    return Element(tag, parent, parent.depth + 1, parent.weight + weight, unseen or parent.unseen, tag == "a" or parent.linked, story or tag == "article")
 
 
 def blocks(html: str) -> list[Block]:
@@ -94,7 +99,7 @@ def blocks(html: str) -> list[Block]:
     parts: list[str] = []
     linked = at = 0
     begun = False
-    top = Element("#page", None, 0, 0.0, False, False)
+    top = Element("#page", None, 0, 0.0, False, False, False)
     here = owner = top
 
     def flush() -> None:

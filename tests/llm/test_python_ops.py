@@ -39,6 +39,7 @@ sha = lambda b: hashlib.sha256(b).hexdigest()
         ("<body><nav>Menu here.</nav><article><h1>Title</h1><p>One &amp; two.<p>Three<br>four.</article><footer>&copy; me.</footer>", "Title One & two. Three four."),
         ("<article><p>A long enough sentence that stands here.</p><div class='comments'><p>First! A reader writes quite a lot here.</p></div></article>", "A long enough sentence that stands here."),
         ("<article><p>Text one is here.</p><aside>Related things to read.</aside><form>Name <input></form><div class='ad'>Buy this now.</div><p>Text two is here.</p></article>", "Text one is here. Text two is here."),
+        ("<article class='post has-sidebar'><p>The story is told here.</p><article class=comment><p>I, a reader, beg to differ on most of that.</p></article></article>", "The story is told here."),
         ("<article><p>cut <b>off &am", "cut off &am"),
         ("<article><p>a<script>var x='</p><p>no';</script>b<style>p{}</style><!-- c --> c</p></article>", "ab c"),
         ("<div class='sidebar'><p>Not this one, it is at the side.</p></div><main><p>But this one is what the page is about, as all can see.</p></main>", "But this one is what the page is about, as all can see."),
