@@ -5,7 +5,8 @@ A line's key is the line without surrounding blanks, A-Z in lower case. Keys tra
 sorted by document and position inside, so a stream over each partition sees a key's first
 occurrence and every new document in turn. Blocks split a hot key over many partitions; what
 remains per key and partition is one partial row, summed afterwards. The answer returned for a
-document is its keep bitmap in run form (kept runs of line numbers), not its text.
+document is its keep bitmap in run form (kept runs of line numbers), not its text; a document
+without one keeps all.
 
 Defined cases: a null or empty text is one empty line; lines without a key are always kept; a
 key repeated inside one document counts that document once; rows with equal doc_id and text
@@ -26,6 +27,8 @@ MIN_DOCS = 10
 BLOCKS = 64
 KEY = ["h1", "h2"]
 RUNS = "array<struct<start:int,len:int>>"
+#: Where a last run ends that goes on to the end of its text.
+OPEN = (1 << 31) - 1
 
 
 def lines_of(text: Column) -> Column:
@@ -44,7 +47,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
-    """(doc_id, th, n_lines, kept runs) of the documents that lose a line.
+    """(doc_id, th, keep) of the documents that lose a line: the runs of lines to keep, the last one open.
 
     Lines whose key occurs in ``min_docs`` documents go, all of them, or all but the first
     occurrence by (doc_id, text hash, position) if ``keep_first``.
@@ -59,7 +62,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     dropped = occurrences(docs).join(rekeyed(repeats.select(*KEY, "first"), *KEY), KEY)
     if keep_first:
         dropped = dropped.filter(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
-    return dropped.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = dropped.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    return gone.select("doc_id", "th", kept_runs(F.col("gone"), F.lit(OPEN)).alias("keep"))
 
 
 def kept_runs(gone: Column, n_lines: Column) -> Column:
@@ -70,12 +74,12 @@ def kept_runs(gone: Column, n_lines: Column) -> Column:
 
 def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
     """``docs`` with the columns n_lines, keep (the bitmap in run form) and kept_text; a column of such a name is replaced."""
-    gone = keep_bitmaps(docs, min_docs, keep_first).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    bitmaps = keep_bitmaps(docs, min_docs, keep_first).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("keep").alias("__keep"))
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "keep", "kept_text")]
-    joined = docs.withColumn("__own", text_hash()).join(gone, F.col("__own").eqNullSafe(F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
-    lines, whole = lines_of(text_of()), F.col("__gone").isNull()
+    joined = docs.withColumn("__own", text_hash()).join(bitmaps, F.col("__own").eqNullSafe(F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    lines, whole = lines_of(text_of()), F.col("__keep").isNull()
     n = F.size(lines)
-    runs = kept_runs(F.col("__gone"), n)
-    keep = F.when(whole, F.array(F.struct(F.lit(0).alias("start"), n.alias("len")))).otherwise(runs)
-    kept = F.when(whole, text_of()).otherwise(let(lines, lambda x: F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(x, r["start"] + 1, r["len"]))), "\n")))
+    closed = F.filter(F.transform("__keep", lambda r: F.struct(r["start"].alias("start"), F.least(r["len"], n - r["start"]).alias("len"))), lambda r: r["len"] > 0)
+    keep = F.when(whole, F.array(F.struct(F.lit(0).alias("start"), n.alias("len")))).otherwise(closed)
+    kept = F.when(whole, text_of()).otherwise(let(lines, lambda x: F.array_join(F.flatten(F.transform("__keep", lambda r: F.slice(x, r["start"] + 1, r["len"]))), "\n")))
     return joined.select(*[F.col(f"`{c}`") for c in own], n.cast("long").alias("n_lines"), keep.cast(RUNS).alias("keep"), kept.alias("kept_text"))
