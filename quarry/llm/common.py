@@ -62,12 +62,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path, in the JVM."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors."""
+    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors.
+
+    The table stays until the application ends, or until it is ``dropped``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quarry-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _at(spark, path)
+    files.deleteOnExit(where.getParent())
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quarry_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that nothing reads any more."""
+    for table in tables:
+        files, where = _at(table.sparkSession, table._quarry_path)
+        files.delete(where.getParent(), True)
 
 
 def mapped(docs: DataFrame, row: Callable[[pa.RecordBatch], list[pa.Array]], new: list[T.StructField]) -> DataFrame:

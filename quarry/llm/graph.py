@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import dropped, rekeyed, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,13 +21,14 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: every neighbour above a node goes to the smallest of its neighbourhood
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = both.filter("b > a").join(rekeyed(least, "a"), "a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         # small star: every node and its smaller neighbours go to the smallest of them
         large = written(large, "large")
         down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select("m", F.explode(F.array("a", "b")).alias("b")).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        small = large.join(rekeyed(down, "b"), "b").select("m", F.explode(F.array("a", "b")).alias("b")).select(F.col("m").alias("a"), "b").filter("a < b").distinct()
         small = written(small, "small")
         more = small.join(links, ["a", "b"], "left_anti").limit(1).count() + links.join(small, ["a", "b"], "left_anti").limit(1).count()
+        dropped(links, large)
         links = small
         if not more:
             break

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import let, lower_ascii, text_of, words_of, written
+from quarry.llm.common import let, lower_ascii, rekeyed, text_of, words_of, written
 from quarry.llm.graph import components
 
 BANDS, ROWS = 25, 5
@@ -160,6 +160,7 @@ def with_bands(sets: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked at ``percent`` or more, transitively."""
+    docs = docs.select("doc_id", "text")
     signed = written(with_bands(docs.select("doc_id", shingles_of(text_of(), shingle).alias("shingles"))), "signed")
     same = ["n_shingles", "s1", "s2"]
     full = signed.filter("n_shingles > 0")
@@ -167,7 +168,7 @@ def groups(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
     reps = full.filter("doc_id is not null").select("doc_id", "n_shingles", "bands").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     banded = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    members = written(banded.join(buckets, "band"), "members")
+    members = written(banded.join(rekeyed(buckets, "band"), "band"), "members")
 
     # only classes that share a bucket have their sets worked out again, from the whole texts
     wanted = members.select("rep").distinct()
@@ -184,7 +185,7 @@ def groups(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
     rest = placed.join(open_, "band", "left_semi").join(around, ["centre", "rep"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     bits = full.select(F.col("doc_id").alias("rep"), "n_shingles", "parity")
     rest = rest.select("band", "rep", F.col("n").alias("n_shingles"), "component", "d").join(bits, ["rep", "n_shingles"]).withColumnRenamed("n_shingles", "n")
-    rest = written(rest.repartition("band"), "rest")
+    rest = written(rest, "rest")
     x, y = rest.alias("x"), rest.alias("y")
     slack = 1 - percent / 100 + 1e-9
     differ = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
