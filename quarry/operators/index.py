@@ -43,11 +43,16 @@ class PhraseIndex:
 def build_phrases(corpus: DataFrame) -> PhraseIndex:
     """The tables from which the text score can be had without the texts: distinct before any shuffle."""
     body = F.split(text.normalise(F.concat_ws(" ", "issue_summary", "suggested_action", "resolution")), " ")
-    rows = corpus.select("db_id", body.alias("w"))
-    near = F.zip_with("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(a.alias("first"), b.alias("second")))
-    words = rows.select("db_id", F.explode(F.array_distinct("w")).alias("word")).filter("word != ''")
-    pairs = rows.select("db_id", F.explode(F.array_distinct(F.filter(near, lambda p: p["second"].isNotNull()))).alias("p")).select("p.first", "p.second", "db_id")
-    return PhraseIndex(words.select("word", "db_id"), pairs)
+
+    def both(w: Column) -> Column:
+        near = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        # distinct as text, which is hashed; the last word has no next one and gives null
+        return F.struct(F.array_distinct(w).alias("words"), F.array_distinct(F.array_compact(near)).alias("pairs"))
+
+    rows = corpus.select("db_id", text.let(body, both).alias("t"))
+    words = rows.select("db_id", F.explode("t.words").alias("word")).filter("word != ''")
+    pairs = rows.select("db_id", F.explode("t.pairs").alias("p"))
+    return PhraseIndex(words.select("word", "db_id"), pairs.select(F.substring_index("p", " ", 1).alias("first"), F.substring_index("p", " ", -1).alias("second"), "db_id"))
 
 
 def phrase_hits(found: PhraseIndex, query: str) -> DataFrame:

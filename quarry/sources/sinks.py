@@ -37,6 +37,16 @@ def read_index(spark, path: str) -> index.Index:
     return index.Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
 
 
+def write_phrases(found: index.PhraseIndex, path: str) -> None:
+    """The phrase index's tables, sorted by the word that queries look for: pairs by the second, which is matched by its beginning."""
+    found.words.repartitionByRange("word").sortWithinPartitions("word").write.mode("overwrite").parquet(f"{path}/words")
+    found.pairs.repartitionByRange("second").sortWithinPartitions("second", "first").write.mode("overwrite").parquet(f"{path}/pairs")
+
+
+def read_phrases(spark, path: str) -> index.PhraseIndex:
+    return index.PhraseIndex(spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/pairs"))
+
+
 def write_statements(corpus: DataFrame, table: str, path: str, lanes: int = 1) -> None:
     """The corpus as packed INSERT statements, one statement a row of text."""
     serve.insert_statements(serve.to_rows(corpus), table, lanes).select("statement").write.mode("overwrite").text(path)
