@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of
+from quarry.llm.common import text_of, written
 
 #: Words of the mix for each word of the input; how often a document's words may be taken.
 SHARE, CEILING = 1.5, 2.0
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 DRAW_RANGE = 1 << 32
+#: Sources up to which their targets are broadcast, and the parts of a source beyond that.
+FEW, SALTS = 100_000, 64
 
 
 def size_of(text: Column) -> Column:
@@ -64,16 +66,31 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / DRAW_RANGE
 
 
+def with_targets(docs: DataFrame, thin: DataFrame) -> DataFrame:
+    """``docs`` with __source, __size and __target, its source's words and target; no row moves where sources are few.
+
+    ``thin`` (source, size) is what is counted. The targets are written first, so their number is
+    known: up to FEW rows they are broadcast; more of them meet the documents by shuffle, every
+    source dealt over SALTS parts, as one source may hold a third of the documents.
+    """
+    plan = targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")))
+    plan = written(plan.select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target")), "targets")
+    if plan.count() <= FEW:
+        return docs.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__source")))
+    parts = plan.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = docs.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(parts, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__part"))).drop("__salt", "__part")
+
+
+def rate() -> Column:
+    return F.when(F.col("__size") > 0, F.col("__target") / F.col("__size")).otherwise(0.0)
+
+
 def rates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies. No text moves."""
     thin = docs.select("doc_id", "source", size_of(text_of()).alias("size"))
-    sources = targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return (
-        thin.alias("d")
-        .join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-        .select("doc_id", "d.source", "size", "source_size", "target", copies_of(rate).alias("copies"))
-    )
+    joined = with_targets(thin, thin.select("source", "size"))
+    return joined.select("doc_id", "source", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), copies_of(rate()).alias("copies"))
 
 
 def copies_of(rate: Column) -> Column:
@@ -82,15 +99,7 @@ def copies_of(rate: Column) -> Column:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; the columns stay as they are.
-
-    The targets are one row per source; the text joins them where it is, split by AQE when a
-    source is hot, or against a broadcast when AQE has seen that the sources are few.
-    """
-    thin = docs.select("source", size_of(text_of()).alias("size"))
-    sources = targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = sources.select(F.col("source").alias("__source"), rate.alias("__rate"))
-    joined = docs.join(plan, docs["source"].eqNullSafe(plan["__source"]))
-    copies = joined.withColumn("__copies", copies_of(F.col("__rate"))).filter("__copies > 0")
+    """``docs`` with every row as often as the mix takes it; the columns stay as they are."""
+    joined = with_targets(docs, docs.select("source", size_of(text_of()).alias("size")))
+    copies = joined.withColumn("__copies", copies_of(rate())).filter("__copies > 0")
     return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

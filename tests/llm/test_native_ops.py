@@ -134,6 +134,13 @@ def test_mixing_takes_near_targets_and_reruns_agree(make):
     assert [r["copies"] for r in mixing.rates(make([None, ""])).collect()] == [0, 0]
 
 
+def test_mixing_by_shuffle_is_the_same(make, monkeypatch):
+    df = make([(i, "w " * (i % 17), "en", [None, "a", "b", "hot"][min(3, i % 9)]) for i in range(500)])
+    want = sorted(map(str, mixing.rates(df).collect()))
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert sorted(map(str, mixing.rates(df).collect())) == want
+
+
 def test_line_dedup_both_ways(make):
     hot = "  Same LINE \t"
     rows = [f"own {i}\n{hot if i % 2 else 'same line'}\nown {i}\n\nnine {i % 20}" for i in range(60)] + [None, "", "same line", hot]
