@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
@@ -30,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quarry.llm.common import mapped
+
 #: Pieces and pairs that a worker remembers; older ones are worked out again.
 PIECES, PAIRS = 200_000, 400_000
 
@@ -172,35 +173,25 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 def with_ids(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of the text column, array<int>."""
-    kept = [f for f in docs.schema.fields if f.name.lower() != ids.lower()]
-    schema = T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
-    names, at = [f.name for f in kept], docs.columns.index(text)
+    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(batch: pa.RecordBatch) -> list[pa.Array]:
         own = encoder(path, pattern)
-        for batch in batches:
-            rows = [own.packed(x) if x else b"" for x in batch.column(at).to_pylist()]
-            offsets = np.zeros(len(rows) + 1, np.int32)
-            np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
-            columns = [batch.column(docs_at) for docs_at in range(batch.num_columns) if batch.schema.names[docs_at].lower() != ids.lower()]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), values)], [*names, ids])
+        rows = [own.packed(x) if x else b"" for x in batch.column(at).to_pylist()]
+        offsets = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
+        values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(rows))])
+        return [pa.ListArray.from_arrays(pa.array(offsets), values)]
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, row, [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
 
 
 def with_bytes(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``docs`` with the bytes of the token ids, binary. A null list is the empty list."""
-    kept = [f for f in docs.schema.fields if f.name.lower() != decoded.lower()]
-    schema = T.StructType([*kept, T.StructField(decoded, T.BinaryType(), False)])
-    names, at = [f.name for f in kept], docs.columns.index(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(path).tokens.__getitem__
-        for batch in batches:
-            column = batch.column(at)
-            rows = [b"".join(map(token, column[i].values.to_numpy().tolist())) if column[i].is_valid else b"" for i in range(len(column))]
-            columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i].lower() != decoded.lower()]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.binary())], [*names, decoded])
-
-    return docs.mapInArrow(run, schema)
+    at = docs.columns.index(ids)
+
+    def row(batch: pa.RecordBatch) -> list[pa.Array]:
+        token, column = vocabulary(path).tokens.__getitem__, batch.column(at)
+        return [pa.array([b"".join(map(token, column[i].values.to_numpy().tolist())) if column[i].is_valid else b"" for i in range(len(column))], pa.binary())]
+
+    return mapped(docs, row, [T.StructField(decoded, T.BinaryType(), False)])
