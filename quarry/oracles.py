@@ -46,7 +46,7 @@ CORPUS = DOCS + f""", corpus AS (
   FROM docs), c AS (SELECT *, coalesce(resolved_at, submitted_at) AS effective FROM corpus)"""
 RAW = DOCS + f""", raw AS (
   SELECT db_id, ['CCC', 'Mitchell', 'Audatex', 'Other'][(number % 4 + 1)::INT] AS database, kind AS inquiry_type,
-    CASE WHEN rest IS NOT NULL THEN 'Resolved (DEG Response)' ELSE 'Submitted to IP' END AS status,
+    CASE WHEN rest IS NOT NULL THEN 'Resolved (Final Response)' ELSE 'Submitted to IP' END AS status,
     CASE WHEN rest IS NOT NULL THEN 'resolved' ELSE 'pending' END AS resolution_status, (2005 + n_chars % 20)::INT AS year,
     string_split(mk, ' ')[1] AS make, concat_ws(' ', string_split(mk, ' ')[2], md) AS model, bd AS body, area AS area_of_vehicle, NULL::VARCHAR AS oem_part_number,
     nullif(first, '') AS issue_summary, second AS suggested_action,
@@ -60,7 +60,7 @@ RAW = DOCS + f""", raw AS (
 FEED = """, feed AS (
   SELECT e.event_id AS pos, d.db_id, ['CCC', 'Mitchell', 'Audatex', 'Other'][(d.number % 4 + 1)::INT] AS database, d.kind AS inquiry_type,
     (2005 + n_chars % 20) || ' ' || mk || ' ' || md AS vehicle_data, (2005 + n_chars % 20)::INT AS year, mk AS make, md AS model,
-    ['Submitted to IP', 'Resolved (IP Change)', 'Resolved (No IP Change)', 'Resolved (DEG Response)', ' resolved (late) '][(k + 1)::INT] AS status,
+    ['Submitted to IP', 'Resolved (IP Change)', 'Resolved (No IP Change)', 'Resolved (Final Response)', ' resolved (late) '][(k + 1)::INT] AS status,
     strftime(at_, '%Y-%m-%d') AS submission_date, CASE WHEN k > 0 THEN strftime(at_ + to_days(30), '%Y-%m-%d') ELSE '' END AS resolution_date
   FROM (SELECT *, (length(event_type) + user_id) % 5 AS k, event_id % (SELECT count(*) FROM documents) AS to_id FROM events) e
   JOIN docs d ON d.db_id = e.to_id WHERE d.source IS NULL OR d.source <> 'src7'),
@@ -214,7 +214,7 @@ PAGES = f"""pages_ AS (SELECT db_id, CASE WHEN n_chars % 9 = 0 THEN {TYPES}[((nu
   {WS.replace("{0}", "first")} AS issue_summary, {WS.replace("{0}", "second")} AS suggested_action, coalesce(nullif({WS.replace("{0}", "rest")}, ''), 'Awaiting resolution') AS resolution,
   CASE WHEN {WS.replace("{0}", "rest")} = '' THEN 'pending' ELSE 'resolved' END AS resolution_status, (2005 + n_chars % 20)::INT AS year,
   CASE WHEN n_chars % 11 = 0 THEN 'unknown' ELSE mk END AS make, md AS model, bd AS body, strftime(at_, '%Y-%m-%d') || ' 09:30:00' AS submitted_datetime,
-  CASE WHEN rest IS NOT NULL THEN 'Resolved (DEG Response)' ELSE 'Submitted to IP' END AS status_raw FROM docs)"""
+  CASE WHEN rest IS NOT NULL THEN 'Resolved (Final Response)' ELSE 'Submitted to IP' END AS status_raw FROM docs)"""
 PROVIDER_COUNTS = {
     p: " + ".join(f"len(regexp_extract_all(x, {quoted(pattern)}))" for pattern in patterns) for p, patterns in record.TEXT_PROVIDERS.items()
 }

@@ -105,7 +105,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "db_id",
         pick(("CCC", "Mitchell", "Audatex", "Other"), F.col("number")).alias("database"),
         pick(TYPES, F.col("number")).alias("inquiry_type"),
-        F.when(answered, "Resolved (DEG Response)").otherwise("Submitted to IP").alias("status"),
+        F.when(answered, "Resolved (Final Response)").otherwise("Submitted to IP").alias("status"),
         F.when(answered, "resolved").otherwise("pending").alias("resolution_status"),
         (2005 + F.pmod("n_chars", F.lit(20))).cast("int").alias("year"),
         F.element_at(F.split(pick(MAKES, F.col("n_chars")), " "), 1).alias("make"),
@@ -129,7 +129,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-STATUS_OF_EVENT = ("Submitted to IP", "Resolved (IP Change)", "Resolved (No IP Change)", "Resolved (DEG Response)", " resolved (late) ")
+STATUS_OF_EVENT = ("Submitted to IP", "Resolved (IP Change)", "Resolved (No IP Change)", "Resolved (Final Response)", " resolved (late) ")
 
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     make = F.when(F.pmod("n_chars", F.lit(11)) == 0, "unknown").otherwise(pick(MAKES, F.col("n_chars")))
     kind = F.when(F.pmod("n_chars", F.lit(9)) == 0, pick(TYPES, F.col("number") + 1)).otherwise(pick(TYPES, F.col("number")))
     cells = F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", (2005 + F.pmod("n_chars", F.lit(20))).cast("string"), make, pick(MODELS, F.col("n_chars")), pick(BODIES, F.col("n_chars"))), F.lit("</td></tr>"))
-    status = F.when(F.col("rest").isNotNull(), "Resolved (DEG Response)").otherwise("Submitted to IP")
+    status = F.when(F.col("rest").isNotNull(), "Resolved (Final Response)").otherwise("Submitted to IP")
     html = F.concat(
         F.lit('<html><body><form><table class="widefat"><thead><tr><th>Submitted</th><th>Status</th></tr></thead><tbody><tr><td>'),
         _date(F.col("at")),
