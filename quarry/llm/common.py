@@ -90,6 +90,19 @@ def dropped(*tables: DataFrame) -> None:
         files.delete(where.getParent(), True)
 
 
+#: Bytes of the batches that go to Python, where the session leaves Spark's default of 64 MB: a batch is held several times over on both sides.
+BATCH_BYTES = "8m"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes. The bound is a session setting; one that the session has set stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, None) in (None, "67108864b", "64m", "64MB"):
+        conf.set(BATCH_KEY, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def mapped(docs: DataFrame, row: Callable[[pa.RecordBatch], list[pa.Array]], new: list[T.StructField]) -> DataFrame:
     """``docs`` with new columns from a function of a batch; a batch is cut by its bytes."""
     names = {f.name.lower() for f in new}
@@ -104,4 +117,4 @@ def mapped(docs: DataFrame, row: Callable[[pa.RecordBatch], list[pa.Array]], new
                 part = batch.slice(start, rows)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in stay), *row(part)], labels)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)

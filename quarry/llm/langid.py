@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.llm.common import in_arrow
+
 #: Bounds of the model: rows, words, and n-grams of each order for every language; the orders.
 ROWS, WORDS, GRAMS, ORDER = 3_000, 30_000, 8_000, 5
 #: Words after which a text's evidence counts as full when the score is formed.
@@ -127,4 +129,4 @@ def with_language(docs: DataFrame, model: dict, text: str = "text") -> DataFrame
             columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i].lower() not in new]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, *new])
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)

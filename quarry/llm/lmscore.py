@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import mapped, text_of, words_of
+from quarry.llm.common import in_arrow, mapped, text_of, words_of
 
 VOCABULARY, MU = 1024, 8.0
 #: Tokens that a worker holds before it reduces them to counts; shapes that it remembers.
@@ -108,7 +108,7 @@ def pair_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
         keys, sums = held[0]
         yield pa.RecordBatch.from_arrays([pa.array(keys >> 1, pa.int64()), pa.array(sums, pa.int64()), pa.array(sums * (keys & 1), pa.int64())], ["pair", "n", "t"])
 
-    part = docs.mapInArrow(run, "pair bigint, n bigint, t bigint")
+    part = in_arrow(docs, run, "pair bigint, n bigint, t bigint")
     return part.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 

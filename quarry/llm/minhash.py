@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import let, lower_ascii, rekeyed, text_of, words_of, written
+from quarry.llm.common import in_arrow, let, lower_ascii, rekeyed, text_of, words_of, written
 from quarry.llm.graph import components
 
 BANDS, ROWS = 25, 5
@@ -155,7 +155,7 @@ def with_bands(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "s1", "s2", "bands", "parity"])
                 at = to
 
-    return sets.mapInArrow(run, f"doc_id {sets.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, parity array<bigint>")
+    return in_arrow(sets, run, f"doc_id {sets.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, parity array<bigint>")
 
 
 def groups(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
