@@ -50,8 +50,8 @@ def build_phrases(corpus: DataFrame) -> PhraseIndex:
         return F.struct(F.array_distinct(w).alias("words"), F.array_distinct(F.array_compact(near)).alias("pairs"))
 
     rows = corpus.select("db_id", text.let(body, both).alias("t"))
-    words = rows.select("db_id", F.explode("t.words").alias("word")).filter("word != ''")
-    pairs = rows.select("db_id", F.explode("t.pairs").alias("p"))
+    words = rows.select("db_id", F.explode_outer("t.words").alias("word")).filter("word != ''")
+    pairs = rows.select("db_id", F.explode_outer("t.pairs").alias("p")).filter("p is not null")
     return PhraseIndex(words.select("word", "db_id"), pairs.select(F.substring_index("p", " ", 1).alias("first"), F.substring_index("p", " ", -1).alias("second"), "db_id"))
 
 
@@ -92,7 +92,8 @@ def terms(column: Column) -> Column:
 def build(corpus: DataFrame) -> Index:
     """The index of a corpus. Occurrences are summed per record and term before they are shuffled."""
     fields = F.array(*[F.struct(F.lit(w).alias("weight"), terms(F.col(c)).alias("terms")) for c, w in WEIGHTS.items()])
-    each = corpus.select("db_id", F.explode(fields).alias("f")).select("db_id", "f.weight", F.explode("f.terms").alias("term"))
+    # outer, then a filter: for an inner explode the optimizer would work the arrays out once more to drop empty ones
+    each = corpus.select("db_id", F.explode_outer(fields).alias("f")).select("db_id", "f.weight", F.explode_outer("f.terms").alias("term")).filter("term is not null")
     postings = each.groupBy("term", "db_id").agg(F.sum("weight").alias("f"))
     size = sum((F.size(terms(F.col(c))) for c in WEIGHTS), F.lit(0))
     return Index(postings, corpus.select("db_id", size.cast("long").alias("n_tokens")))
