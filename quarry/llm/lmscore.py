@@ -1,38 +1,39 @@
 """Cross-entropy difference scores from a target and a background n-gram model.
 
 The two bigram models are matched: one vocabulary, one tokenisation, one smoothing. The
-vocabulary holds the VOCABULARY words found in most documents of the whole corpus; every other
-word is the class of its shape. Counts are taken over every whole text, all documents for the
-background and the chosen ones for the target, and summed by Spark; what is broadcast are two
-square tables of losses over the vocabulary, of a size that VOCABULARY alone sets. A document's
-score is the mean over its tokens of target loss minus background loss, in nats: the lower, the
-more it is like the target.
+vocabulary holds every word of the counted texts, so it and the pair counts grow with the corpus.
+Counts are taken over every whole text, all documents for the background and the chosen ones for
+the target, and summed by Spark; they stay tables, and meet the pairs of each document in joins.
+Words are 64-bit hashes there, pairs hashes of two. A document's score is the mean over its tokens
+of target loss minus background loss, in nats: the lower, the more it is like the target.
 
 Smoothing: p(w | h) = (c(h, w) + MU p(w)) / (c(h) + MU), p(w) = (c(w) + 1) / (N + V).
 
 Defined cases: a null text or one without words has no tokens, losses of 0 and score 0; without
-target documents the target model is the smoothed one of no counts; ties in the vocabulary go to
-the word first by code point; repeated rows count as often as they come and score alike; an empty
-table gives an empty table; texts of any length are read whole; columns other than the id, the
-text and the flag are not read.
+target documents the target model is the smoothed one of no counts; a word of no counted text has
+c(w) = 0, and V has one place for such words beside the start; repeated rows count as often as
+they come and score alike; an empty table gives an empty table; texts of any length are read
+whole; columns other than the id, the text and the flag are not read. A caller that gives a size
+gets the words found in most documents, ties to the word first by code point, and for all others
+the class of their shape.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quarry.llm.common import in_arrow, mapped, text_of, words_of
+from quarry.llm.common import in_arrow, rekeyed, text_of, words_of, written
 
-VOCABULARY, MU = 1024, 8.0
-#: Tokens that a worker holds before it reduces them to counts; shapes that it remembers.
-CHUNK, SHAPES_KEPT = 2_000_000, 200_000
+MU = 8.0
+#: Tokens that a worker holds before it reduces them to counts, rows that it hands on at once; words and shapes that it remembers.
+CHUNK, ROWS, WORDS_KEPT, SHAPES_KEPT = 2_000_000, 200_000, 500_000, 200_000
 #: Shapes of words outside the vocabulary, tried in order.
 SHAPES = (r"[\W_]*\d[\d\W_]*$", r"[\W_]+$", r".*[#$%&*<>|{}=~^\\]", r".*[!?]{2}", r"\W*[^\W\d_]?[A-ZÀ-Þ]{2,}\W*$", r".*\d", r".{25}", r"[^\W\d_]{1,3}[.,;:]?$", r"[^\W\d_]{4,8}[.,;:]?$", r"")
 SHAPE = re.compile("|".join(f"({s})" for s in SHAPES), re.S)
@@ -61,92 +62,141 @@ class Tokens(dict):
         return np.array(list(map(self.__getitem__, [b"", *text.split()] if text else [b""])), np.int64)
 
 
+class Words(dict):
+    """All words, as UTF-8, to 64-bit hashes; no bytes are a text's start."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        if len(self) < WORDS_KEPT and len(word) <= 32:
+            self[word] = number
+        return number
+
+    of = Tokens.of
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
+def vocabulary_of(docs: DataFrame, size: int) -> list[str]:
     """The words of most documents, over all documents."""
     words = docs.select(F.explode(F.array_distinct(words_of(text_of()))).alias("w"))
     top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(size)
     return [r["w"] for r in top.collect()]
 
 
-def pair_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(text, target) to (pair, n, t): how often each token pair occurs in all and in target texts."""
+def pairs_of(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The hashes of token pairs."""
+    x = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def in_rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + ROWS]) for c in columns], names)
+
+
+def pair_counts(docs: DataFrame, vocabulary: list[str] | None) -> DataFrame:
+    """(text, target) to (p, h, w, n, t): how often each token pair occurs in all and in target texts.
+
+    Texts whose target is null are not counted; their pairs are listed.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(shared.value)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        codes: list[np.ndarray] = []
-        flags: list[np.ndarray] = []
+        tokens = Words() if shared.value is None else Tokens(shared.value)
+        held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
         waiting = 0
 
-        def reduced(final: bool) -> None:
-            nonlocal waiting
-            if codes:
-                code = np.concatenate(codes) << 1 | np.concatenate(flags)
-                held.append(np.unique(code, return_counts=True))
-                codes.clear()
-                flags.clear()
-                waiting = 0
-            if final or len(held) >= 8:
-                keys, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                sums = np.bincount(back, np.concatenate([c for _, c in held]) if held else None, len(keys)).astype(np.int64)
-                held[:] = [(keys, sums)]
+        def reduced() -> Iterator[pa.RecordBatch]:
+            h, w = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            sizes = [len(x[0]) for x in held]
+            keys, first, back = np.unique(pairs_of(h, w), return_index=True, return_inverse=True)
+            n, t = (np.bincount(back, np.repeat([x[i] for x in held], sizes), len(keys)).astype(np.int64) for i in (2, 3))
+            held.clear()
+            yield from in_rows(["p", "h", "w", "n", "t"], keys, h[first], w[first], n, t)
 
         for batch in batches:
             for text, target in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 ids = tokens.of(text)
-                codes.append(ids[:-1] * tokens.size + ids[1:])
-                flags.append(np.full(len(ids) - 1, int(bool(target)), np.int64))
+                held.append((ids[:-1], ids[1:], int(target is not None), int(bool(target))))
                 waiting += len(ids)
                 if waiting >= CHUNK:
-                    reduced(False)
-        reduced(True)
-        keys, sums = held[0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys >> 1, pa.int64()), pa.array(sums, pa.int64()), pa.array(sums * (keys & 1), pa.int64())], ["pair", "n", "t"])
+                    yield from reduced()
+                    waiting = 0
+        if held:
+            yield from reduced()
+
+    part = in_arrow(docs, run, "p bigint, h bigint, w bigint, n bigint, t bigint")
+    return part.groupBy("p").agg(F.max("h").alias("h"), F.max("w").alias("w"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def pairs_in(docs: DataFrame, vocabulary: list[str] | None) -> DataFrame:
+    """(d, text) to (d, p, k, s): how often each pair occurs in a text, and 1 on one row of a text.
+
+    A task lists a text that it meets again under the same ``d`` once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Words() if shared.value is None else Tokens(shared.value)
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
+        for batch in batches:
+            for d, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+                if d in seen:
+                    continue
+                seen.add(d)
+                ids = tokens.of(text)
+                keys, k = np.unique(pairs_of(ids[:-1], ids[1:]), return_counts=True)
+                held.append((np.full(len(keys), d, np.int64), keys, k.astype(np.int64), (np.arange(len(keys)) == 0).astype(np.int64)))
+                waiting += len(keys)
+                if waiting >= ROWS:
+                    yield from in_rows(["d", "p", "k", "s"], *map(np.concatenate, zip(*held, strict=True)))
+                    held.clear()
+                    waiting = 0
+        if held:
+            yield from in_rows(["d", "p", "k", "s"], *map(np.concatenate, zip(*held, strict=True)))
+
+    return in_arrow(docs, run, "d bigint, p bigint, k bigint, s bigint")
+
 
-    part = in_arrow(docs, run, "pair bigint, n bigint, t bigint")
-    return part.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+def loss(pair: str, word: str, before: str, total: int, size: int) -> Column:
+    """-ln p(w | h)."""
+    single = (F.col(word) + 1) / F.lit(float(total + size))
+    return F.log(F.col(before) + MU) - F.log(F.col(pair) + MU * single)
 
 
-def losses(pairs: np.ndarray, counts: np.ndarray, size: int, mu: float = MU) -> np.ndarray:
-    """The table of -ln p(w | h), one row for each h."""
-    table = np.zeros(size * size)
-    table[pairs] = counts
-    table = table.reshape(size, size)
-    single = (table.sum(axis=0) + 1) / (table.sum() + size)
-    return -np.log((table + mu * single) / (table.sum(axis=1, keepdims=True) + mu)).astype(np.float32)
+def losses(pairs: DataFrame, size: int | None) -> DataFrame:
+    """The counts of ``pair_counts`` to (p, target, background): the losses of each pair."""
+    after = pairs.groupBy("w").agg(F.sum("n").alias("wn"), F.sum("t").alias("wt"))
+    before = pairs.groupBy("h").agg(F.sum("n").alias("hn"), F.sum("t").alias("ht"))
+    n, t, words = after.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("wn", "wt")), F.count_if(F.col("wn") > 0)).first()
+    size = words + 2 if size is None else size
+    both = pairs.join(rekeyed(after, "w"), "w").join(rekeyed(before, "h"), "h")
+    return both.select("p", loss("t", "wt", "ht", t, size).alias("target"), loss("n", "wn", "hn", n, size).alias("background"))
 
 
-def with_scores(docs: DataFrame, flagged: DataFrame, size: int = VOCABULARY) -> DataFrame:
+def with_scores(docs: DataFrame, flagged: DataFrame, size: int | None = None, within: bool = False) -> DataFrame:
     """``docs`` (doc_id, text) with n_tokens, target_loss, background_loss and score.
 
     ``flagged`` has the corpus that the models count: text, and whether it belongs to the target.
+    ``within`` says that it has all texts of ``docs``, whose pairs then need not be listed again.
     """
-    vocabulary = vocabulary_of(flagged, size)
-    found = pair_counts(flagged.select("text", "target"), vocabulary).toArrow()
-    pairs, n, t = (found.column(c).to_numpy() for c in ("pair", "n", "t"))
-    count = Tokens(vocabulary).size
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, np.stack([losses(pairs, t, count), losses(pairs, n, count)]).reshape(2, -1)))
-    at = docs.columns.index("text")
-    own: list = []
-
-    def row(batch: pa.RecordBatch) -> list[pa.Array]:
-        if not own:
-            own.append(Tokens(shared.value[0]))
-        tokens, (target, background) = own[0], shared.value[1]
-        out = []
-        for text in as_bytes(batch.column(at)):
-            ids = tokens.of(text)
-            code = ids[:-1] * tokens.size + ids[1:]
-            k = len(code)
-            mean = (float(target[code].mean(dtype=float)), float(background[code].mean(dtype=float))) if k else (0.0, 0.0)
-            out.append((k, *mean, mean[0] - mean[1]))
-        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-        return [pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)]
-
-    new = [T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score"))]
-    return mapped(docs, row, new)
+    vocabulary = None if size is None else vocabulary_of(flagged, size)
+    told = flagged.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    if not within:
+        told = told.union(docs.select("text", F.lit(None).cast("boolean")))
+    model = losses(written(pair_counts(told, vocabulary), "pairs"), None if vocabulary is None else Tokens(vocabulary).size)
+    key = F.xxhash64(text_of())
+    # copies of a text add to sums and counts alike: the means are those of one
+    met = pairs_in(docs.select(key.alias("d"), "text"), vocabulary).join(model, "p")
+    sums = met.groupBy("d").agg(*(F.sum(c).alias(f"__{c}") for c in ("k", "s")), *((F.sum(F.col("k") * F.col(c)) / F.sum("k")).alias(f"__{c}") for c in ("target", "background")))
+    new = ("n_tokens", "target_loss", "background_loss", "score")
+    found = docs.drop(*new).withColumn("__d", key).join(rekeyed(sums.withColumnRenamed("d", "__d"), "__d"), "__d", "left")
+    target, background = (F.coalesce(F.col(f"__{c}"), F.lit(0.0)) for c in ("target", "background"))
+    tokens = F.coalesce((F.col("__k") / F.col("__s")).cast("long"), F.lit(0).cast("long"))
+    return found.select(*docs.drop(*new).columns, *(c.alias(a) for c, a in zip((tokens, target, background, target - background), new, strict=True)))

@@ -54,7 +54,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select(F.col("doc_id").alias("__id")).distinct()
     # one plan at every size: texts and labels meet by shuffle, whichever is small here
     flagged = docs.join(chosen.hint("merge"), F.col("doc_id") == F.col("__id"), "left").select("text", F.col("__id").isNotNull().alias("target"))
-    return lmscore.with_scores(docs, flagged).drop("text")
+    return lmscore.with_scores(docs, flagged, within=True).drop("text")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

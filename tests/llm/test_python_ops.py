@@ -195,6 +195,21 @@ def test_lm_scores_part_labelled_documents(spark):
     assert np.mean([[a < b for b in bad] for a in good]) > 0.95
 
 
+def test_lm_vocabulary_and_pairs_grow_with_the_corpus(make):
+    common = [f"f{i:04d}" for i in range(1030)]
+    rows = [" ".join(common)] * 3 + ["apple pear"] * 2 + ["plumb kiwis"] * 2 + [None]
+    df = make(rows, extra=False).withColumn("target", F.col("doc_id").isin(3, 4))
+    got = {r["doc_id"]: r for r in lmscore.with_scores(df.select("doc_id", "text"), df.select("text", "target")).collect()}
+    assert got[3]["score"] < got[5]["score"] - 1  # content words of one shape, beyond the 1,024 most frequent
+    n, size, mu = 3 * 1030 + 8, 1030 + 4 + 2, lmscore.MU
+    want = [np.log(7 + mu) - np.log(2 + mu * 3 / (n + size)), np.log(2 + mu) - np.log(2 + mu * 3 / (n + size))]
+    assert got[3]["background_loss"] == pytest.approx(np.mean(want)) and got[3]["n_tokens"] == 2 and got[0]["n_tokens"] == 1030
+    part = {r["doc_id"]: r for r in lmscore.with_scores(df.select("doc_id", "text"), df.filter("doc_id < 5").select("text", "target")).collect()}
+    seen, size = 3 * 1030 + 4, 1030 + 2 + 2
+    want = [np.log(5 + mu) - np.log(mu / (seen + size)), np.log(mu) - np.log(mu / (seen + size))]
+    assert part[5]["background_loss"] == pytest.approx(np.mean(want))  # words of no counted text
+
+
 def test_lm_scores_of_empty_tables(make):
     df = make([], extra=False)
     assert lmscore.with_scores(df.select("doc_id", "text"), df.select("text", F.lit(True).alias("target"))).count() == 0
