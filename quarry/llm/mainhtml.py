@@ -34,6 +34,8 @@ RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Start tags that leave an open head open; any other, and text, ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: What an opening tag closes when it is the nearest of these.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -109,8 +111,15 @@ def blocks(html: str) -> list[Block]:
             out.append(Block(text, min(linked, len(text)), owner))
         parts, linked, begun = [], 0, False
 
+    def end_head() -> None:
+        nonlocal here
+        while here.tag == "head":
+            here = here.parent
+
     def say(raw: str) -> None:
         nonlocal linked, owner, begun
+        if raw.strip():
+            end_head()
         if raw and not here.unseen:
             text = unescape(raw)
             parts.append(text)
@@ -134,6 +143,8 @@ def blocks(html: str) -> list[Block]:
             if node is not top:
                 here = node.parent
             continue
+        if tag not in HEAD:
+            end_head()
         if tag in VOID:
             continue
         if tag in BLOCK and tag != "br":

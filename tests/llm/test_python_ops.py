@@ -51,6 +51,24 @@ def test_main_text(page, text):
     assert mainhtml.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><body><article><p>Text.</p></article>",
+        "<head><title>T</title><meta charset=utf-8><link rel=x href=y><script>var a</script><article><p>Text.</article>",
+        "<head><style>p{}</style><template><p>Not this.</p></template><noscript><p>Nor this.</p></noscript><br><article><p>Text.</p></article>",
+        "<head><head><title>T</title><body><article><p>Text.</p></article>",
+        "<head><title>T</title></head><body><article><p>Text.</p></article>",
+    ],
+)
+def test_open_head_ends_before_the_body(page):
+    assert mainhtml.main_text(page) == "Text."
+
+
+def test_open_head_ends_at_text():
+    assert [b.text for b in mainhtml.blocks("<head><title>T</title>\n Some text <p>and more.")] == ["Some text", "and more."]
+
+
 def test_cut_is_minimal():
     rng = random.Random(2)
     for _ in range(200):
