@@ -4,8 +4,8 @@ A known word is scored by its log frequency in every language. An unseen word fa
 longest order of character n-grams (with word ends) of which any is known, and scores the mean
 of the known ones. A text's score is the mean of its words' scores.
 
-The model is fitted on a bounded sample of labelled rows: about ROWS rows of each language,
-chosen by a hash of the text, and holds WORDS words and GRAMS n-grams of each order for a
+The model is fitted on a bounded sample of labelled rows: about ROWS distinct texts of each language,
+chosen by a hash of the text and counted as often as their rows come, and holds WORDS words and GRAMS n-grams of each order for a
 language; these are its documented bounds, and with them its size as a broadcast. Prediction
 reads every whole text and nothing else.
 
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from quarry.llm.common import in_arrow
 
-#: Bounds of the model: rows, words, and n-grams of each order for every language; the orders.
+#: Bounds of the model: distinct texts, words, and n-grams of each order for every language; the orders.
 ROWS, WORDS, GRAMS, ORDER = 3_000, 30_000, 8_000, 5
 #: Words after which a text's evidence counts as full when the score is formed.
 EVIDENCE = 20
@@ -38,15 +38,16 @@ UNKNOWN = "und"
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS, words: int = WORDS, grams: int = GRAMS) -> dict:
     """The model of (text, lang) rows: languages, row numbers of words and n-grams, log frequencies."""
     pairs = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in pairs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = pairs.select("lang", F.xxhash64("text").alias("th")).distinct()
+    sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return {"languages": [], "rows": {}, "values": np.zeros((0, 0), np.float32)}
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, rows / n))) for k, n in sizes.items()])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = pairs.filter(draw < share)
+    sample = pairs.filter(draw < share).groupBy("lang", "text").agg(F.count("*").alias("copies"))
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
-    counted = sample.select("lang", F.explode(found).alias("item")).groupBy("lang", "item").agg(F.count("*").alias("n"))
+    counted = sample.select("lang", "copies", F.explode(found).alias("item")).groupBy("lang", "item").agg(F.sum("copies").alias("n"))
     ends = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
     cut = F.flatten(F.array(*[_cut(ends, order) for order in range(1, ORDER + 1)]))
     gram = counted.select("lang", "n", F.explode(cut).alias("item")).filter("item != ' '").groupBy("lang", "item").agg(F.sum("n").alias("n"))

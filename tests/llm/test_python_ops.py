@@ -171,6 +171,18 @@ def test_language_defined_cases(make):
     assert [r["lang_pred"] for r in langid.with_language(make(["text"]), langid.fit(make([]))).collect()] == ["und"]
 
 
+def test_every_language_of_copies_is_learned(make):
+    hot = {f"l{i}": f"wort{chr(97 + i)} rest{chr(97 + i)}" for i in range(8)}
+    rows = [(i, text, lang, "s") for i, (lang, text) in enumerate(itertools.chain(*[hot.items()] * 60))]
+    model = langid.fit(make(rows), rows=2)
+    assert all(w in model["rows"] for text in hot.values() for w in text.split())
+    got = langid.with_language(make(rows[:8]), model).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+    weighed = langid.fit(make([(i, "aa bb" if i else "aa", "x", "s") for i in range(4)]), rows=10)
+    aa, bb = (weighed["values"][weighed["rows"][w], 0] for w in ("aa", "bb"))
+    assert aa - bb == pytest.approx(np.log(4.5 / 3.5), abs=1e-5)  # copies count as often as they come
+
+
 def test_backoff_takes_the_longest_known_order(make):
     own = langid.Identifier(langid.fit(make([("1", "abcdef", "en", "s")] and [(1, "abcdef", "en", "s")])))
     longest = own.backoff("abcdefg")
