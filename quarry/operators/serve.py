@@ -12,6 +12,8 @@ from quarry.functions.text import head
 
 C = F.col
 ILLEGAL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+#: What a loader that supplies its own transactions rejects.
+TRANSACTION = "BEGIN TRANSACTION"
 #: Limits of load statements in characters: what one may have, and what packing aims at.
 MOST, TARGET = 100_000, 80_000
 
@@ -93,10 +95,11 @@ def literal(column: Column) -> Column:
 
 
 def insert_values(rows: DataFrame, numeric: tuple[str, ...] = ("db_id", "vehicle_year")) -> DataFrame:
-    """(db_id, values, size): each row's VALUES tuple; characters that a loader rejects fail the job."""
+    """(db_id, values, size): each row's VALUES tuple; characters and the phrase that a loader rejects fail the job."""
     parts = [F.coalesce(C(c).cast("string"), F.lit("NULL")) if c in numeric else literal(C(c)) for c in rows.columns]
     text = F.concat(F.lit("("), F.concat_ws(", ", *parts), F.lit(")"))
-    checked = F.when(text.rlike(ILLEGAL), F.raise_error(F.concat(F.lit("control character in row "), C("db_id").cast("string")))).otherwise(text)
+    refused = lambda what: F.raise_error(F.concat(F.lit(f"{what} in row "), C("db_id").cast("string")))
+    checked = F.when(text.rlike(ILLEGAL), refused("control character")).when(F.contains(text, F.lit(TRANSACTION)), refused("transaction phrase")).otherwise(text)
     return rows.select("db_id", checked.cast("string").alias("values")).withColumn("size", F.length("values"))
 
 

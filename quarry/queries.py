@@ -430,7 +430,7 @@ def load_sizes(s, d):
 
 @query
 def load_statements(s, d):
-    rows = serve.to_rows(views.corpus(s, d)).select("db_id", "title", "issue_summary")
+    rows = serve.to_rows(views.corpus(s, d))
     return serve.insert_statements(rows, "inquiry", 1, most=1 << 22).select("lane", "number", F.length("statement").alias("size"))
 
 

@@ -201,6 +201,22 @@ def test_rows_refuse_odd_ids_and_control_characters(spark):
     assert serve.insert_values(served.select("db_id", "issue_summary", "resolution")).first()["values"] == "(1, 'it''s', NULL)"
 
 
+def test_rows_refuse_the_transaction_phrase(spark):
+    row = spark.range(1).select(C("id").alias("db_id"), F.lit("to BEGIN TRANSACTION now").alias("title"))
+    with pytest.raises(Exception, match="transaction phrase in row 0"):
+        serve.insert_values(row).collect()
+
+
+def test_load_statements_pack_all_served_columns(spark):
+    from quarry.queries import load_statements
+    from quarry.sources import views
+
+    d = "/root/testdata/sf0.001"
+    sizes = [r["size"] for r in load_statements(spark, d).collect()]
+    text = views.corpus(spark, d).select(F.sum(sum((F.coalesce(F.length(c), F.lit(0)) for c in ("title", "body", "issue_summary", "suggested_action", "resolution")), F.lit(0)))).first()[0]
+    assert sum(sizes) > text
+
+
 def test_statements_pack_to_the_target(spark):
     rows = spark.range(100).select(C("id").alias("db_id"), F.lit("x" * 50).alias("title"))
     got = serve.insert_statements(rows, "t", 1, target=1000).collect()
