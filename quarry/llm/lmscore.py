@@ -3,17 +3,24 @@
 The two bigram models are matched: one vocabulary, one tokenisation, one smoothing. The
 vocabulary holds every word of the counted texts, so it and the pair counts grow with the corpus.
 Counts are taken over every whole text, all documents for the background and the chosen ones for
-the target, and summed by Spark; they stay tables, and meet the pairs of each document in joins.
-Words are 64-bit hashes there, pairs hashes of two. A document's score is the mean over its tokens
-of target loss minus background loss, in nats: the lower, the more it is like the target.
+the target. A document's score is the mean over its tokens of target loss minus background loss,
+in nats: the lower, the more it is like the target.
 
 Smoothing: p(w | h) = (c(h, w) + MU p(w)) / (c(h) + MU), p(w) = (c(w) + 1) / (N + V).
 
+Documents are dealt by hash into chunks of a bounded size. A chunk lists each of its distinct
+pairs, histories and words once, as sorted 64-bit keys with the chunk's own counts; ranges of the
+keys travel to the ranges' counters as packed difference runs, are summed there over all chunks,
+and the sums travel back in the order of the asking chunk's keys. A chunk then works out its
+documents' losses from exact counts. A frequent pair costs one entry a chunk, whatever the number
+of documents that have it; chunks and ranges grow in number, not in size, with the corpus.
+
 Defined cases: a null text or one without words has no tokens, losses of 0 and score 0; without
 target documents the target model is the smoothed one of no counts; a word of no counted text has
 c(w) = 0, and V has one place for such words beside the start; repeated rows count as often as
-they come and score alike; an empty table gives an empty table; texts of any length are read
-whole; columns other than the id, the text and the flag are not read. A caller that gives a size
+they come and score alike; a null doc_id is nobody's target; an empty table gives an empty table;
+texts of any length are read whole; columns other than the id, the text and the flag are not
+read, and a result column replaces an input column of its name. A caller that gives a size
 gets the words found in most documents, ties to the word first by code point, and for all others
 the class of their shape.
 """
@@ -21,19 +28,24 @@ the class of their shape.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import in_arrow, rekeyed, text_of, words_of, written
+from quarry.llm.common import rekeyed, text_of, words_of, written
 
 MU = 8.0
-#: Tokens that a worker holds before it reduces them to counts, rows that it hands on at once; words and shapes that it remembers.
-CHUNK, ROWS, WORDS_KEPT, SHAPES_KEPT = 2_000_000, 200_000, 500_000, 200_000
+#: Bytes of text of a chunk, and of the texts whose keys fall into one range.
+CHUNK_BYTES = 12 << 20
+#: Parts over which the documents of one id are dealt.
+SALTS = 8
+#: Words and shapes that a worker remembers.
+WORDS_KEPT, SHAPES_KEPT = 500_000, 200_000
+#: The kinds of a key, its lowest two bits.
+PAIR, HISTORY, WORD = 0, 1, 2
 #: Shapes of words outside the vocabulary, tried in order.
 SHAPES = (r"[\W_]*\d[\d\W_]*$", r"[\W_]+$", r".*[#$%&*<>|{}=~^\\]", r".*[!?]{2}", r"\W*[^\W\d_]?[A-ZÀ-Þ]{2,}\W*$", r".*\d", r".{25}", r"[^\W\d_]{1,3}[.,;:]?$", r"[^\W\d_]{4,8}[.,;:]?$", r"")
 SHAPE = re.compile("|".join(f"({s})" for s in SHAPES), re.S)
@@ -59,14 +71,14 @@ class Tokens(dict):
 
     def of(self, text: bytes | None) -> np.ndarray:
         """The token numbers of a text, its start first."""
-        return np.array(list(map(self.__getitem__, [b"", *text.split()] if text else [b""])), np.int64)
+        return np.array(list(map(self.__getitem__, [b"", *text.split()] if text else [b""])), np.uint64)
 
 
 class Words(dict):
     """All words, as UTF-8, to 64-bit hashes; no bytes are a text's start."""
 
     def __missing__(self, word: bytes) -> int:
-        number = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        number = xxhash.xxh3_64_intdigest(word)
         if len(self) < WORDS_KEPT and len(word) <= 32:
             self[word] = number
         return number
@@ -74,10 +86,6 @@ class Words(dict):
     of = Tokens.of
 
 
-def as_bytes(column: pa.Array) -> list[bytes | None]:
-    return column.cast(pa.binary()).to_pylist()
-
-
 def vocabulary_of(docs: DataFrame, size: int) -> list[str]:
     """The words of most documents, over all documents."""
     words = docs.select(F.explode(F.array_distinct(words_of(text_of()))).alias("w"))
@@ -85,118 +93,174 @@ def vocabulary_of(docs: DataFrame, size: int) -> list[str]:
     return [r["w"] for r in top.collect()]
 
 
-def pairs_of(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The hashes of token pairs."""
-    x = h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.view(np.uint64)
+def keys_of(kind: int, h: np.ndarray, w: np.ndarray | int = 0) -> np.ndarray:
+    """The keys of pairs, or of histories or words: mixed 62 bits, and the kind."""
+    x = h * np.uint64(0x9E3779B97F4A7C15) + w + np.uint64(kind)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
+    return (x ^ (x >> np.uint64(31))) & ~np.uint64(3) | np.uint64(kind)
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Numbers of 64 bits, byte by byte of equal weight, compressed: small numbers cost next to nothing."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.ravel() for c in columns]
+    return pa.compress(np.concatenate(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int, columns: int) -> np.ndarray:
+    """The columns of ``packed``, one a row."""
+    planes = np.frombuffer(pa.decompress(data, size * columns * 8, codec="zstd"), np.uint8).reshape(columns, 8, size)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64).reshape(columns, size)
+
+
+class Chunk:
+    """The texts of a chunk as tokens, and the sorted distinct keys of their pairs, histories and words."""
+
+    def __init__(self, texts: pa.ChunkedArray, tokens: Words | Tokens) -> None:
+        rows = [tokens.of(t) for t in texts.cast(pa.large_binary()).to_pylist()]
+        #: Tokens of each text, without its start.
+        self.sizes = np.array([len(r) - 1 for r in rows], np.int64)
+        h, w = (np.concatenate([r[s] for r in rows] or [np.zeros(0, np.uint64)]) for s in (slice(None, -1), slice(1, None)))
+        parts = [np.unique(k, return_inverse=True) for k in (keys_of(PAIR, h, w), keys_of(HISTORY, h), keys_of(WORD, w))]
+        joined = np.concatenate([k for k, _ in parts])
+        order = np.argsort(joined)
+        self.keys = joined[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        starts = np.cumsum([0, *(len(k) for k, _ in parts)])
+        #: For every token the places of its pair, history and word among the keys.
+        self.places = [place[start : start + len(k)][back] for start, (k, back) in zip(starts, parts, strict=False)]
+
+    def counts(self, times: np.ndarray) -> np.ndarray:
+        """How often each key occurs, every text taken as often as told."""
+        each = np.repeat(times, self.sizes)
+        return sum(np.bincount(p, each, len(self.keys)) for p in self.places).astype(np.uint64)
+
+    def losses(self, counts: np.ndarray, total: int, size: int) -> np.ndarray:
+        """Mean -ln p(w | h) of each text."""
+        pair, history, word = (counts[p].astype(np.float64) for p in self.places)
+        each = np.log(history + MU) - np.log(pair + MU * ((word + 1) / float(total + size)))
+        sums = np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), each, len(self.sizes))
+        return sums / np.maximum(self.sizes, 1)
+
+
+ASKED = "chunk long, range int, size int, data binary"
+TOLD = "chunk long, range int, size int, data binary, words long, n long, t long"
+
+
+def asks(rows: DataFrame, chosen: DataFrame | None, ranges: int, vocabulary: list[str] | None) -> DataFrame:
+    """(chunk, d, text, counted, target), and perhaps (chunk, d) of more targets, to each chunk's keys and counts by range."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    names = ["chunk", "range", "size", "data"]
+
+    def listed(part: pa.Table, more: pa.Table | None) -> pa.Table:
+        if not part.num_rows:
+            return pa.table([[], [], [], []], pa.schema([("chunk", pa.int64()), ("range", pa.int32()), ("size", pa.int32()), ("data", pa.binary())]))
+        own = Chunk(part.column("text"), Words() if shared.value is None else Tokens(shared.value))
+        counted, target = (np.array(part.column(c).to_pylist(), bool) for c in ("counted", "target"))
+        if more is not None and more.num_rows:
+            ids = set(more.column("d").to_pylist())
+            target |= np.array([d in ids for d in part.column("d").to_pylist()], bool)
+        n, t = own.counts(counted), own.counts(counted & target)
+        cuts = np.searchsorted(own.keys, np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)).tolist() + [len(own.keys)]
+        full = [i for i in range(ranges) if cuts[i] < cuts[i + 1]]
+        data = [packed(np.diff(own.keys[a:b], prepend=np.uint64(0)), n[a:b], t[a:b]) for a, b in ((cuts[i], cuts[i + 1]) for i in full)]
+        chunk = part.column("chunk")[0].as_py()
+        return pa.table([pa.array([chunk] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([cuts[i + 1] - cuts[i] for i in full], pa.int32()), pa.array(data, pa.binary())], names)
+
+    def alone(part: pa.Table) -> pa.Table:
+        return listed(part, None)
+
+    def beside(part: pa.Table, more: pa.Table) -> pa.Table:
+        return listed(part, more)
+
+    if chosen is None:
+        return rows.groupBy("chunk").applyInArrow(alone, ASKED)
+    return rows.groupBy("chunk").cogroup(chosen.groupBy("chunk")).applyInArrow(beside, ASKED)
+
+
+def tells(asked: DataFrame) -> DataFrame:
+    """The sums over all chunks of the counts of each asked key, in the order asked; a range's first row has its totals.
+
+    Totals: distinct words that are counted, their occurrences, and those in target texts.
+    """
 
+    def run(part: pa.Table) -> pa.Table:
+        sizes = part.column("size").to_pylist()
+        lists = [unpacked(d, k, 3) for d, k in zip(part.column("data").to_pylist(), sizes, strict=True)]
+        keys, back = np.unique(np.concatenate([np.cumsum(x[0]) for x in lists]), return_inverse=True)
+        n, t = (np.bincount(back, np.concatenate([x[i] for x in lists]).astype(np.float64), len(keys)).astype(np.uint64) for i in (1, 2))
+        word = (keys & np.uint64(3)) == WORD
+        cuts = np.cumsum([0, *sizes])
+        data = [packed(n[back[a:b]], t[back[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        totals = [pa.array([int(x), *[0] * (len(sizes) - 1)], pa.int64()) for x in ((n[word] > 0).sum(), n[word].sum(), t[word].sum())]
+        return pa.table([part.column("chunk"), part.column("range"), part.column("size"), pa.array(data, pa.binary()), *totals], ["chunk", "range", "size", "data", "words", "n", "t"])
 
-def in_rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(columns[0]), ROWS):
-        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + ROWS]) for c in columns], names)
+    return asked.groupBy("range").applyInArrow(run, TOLD)
 
 
-def pair_counts(docs: DataFrame, vocabulary: list[str] | None) -> DataFrame:
-    """(text, target) to (p, h, w, n, t): how often each token pair occurs in all and in target texts.
+def scored(rows: DataFrame, chosen: DataFrame | None, ranges: int, vocabulary: list[str] | None) -> DataFrame:
+    """(chunk, d, text, counted, target, wanted), and perhaps (chunk, d) of more targets, to (d, n_tokens, target_loss, background_loss) of the wanted rows."""
+    told = written(tells(asks(rows.drop("wanted"), chosen, ranges, vocabulary)), "told")
+    words, n, t = told.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "n", "t"))).first()
+    size = words + 2 if vocabulary is None else Tokens(vocabulary).size
+    shared = rows.sparkSession.sparkContext.broadcast(vocabulary)
+    names = ["d", "n_tokens", "target_loss", "background_loss"]
 
-    Texts whose target is null are not counted; their pairs are listed.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Words() if shared.value is None else Tokens(shared.value)
-        held: list[tuple[np.ndarray, np.ndarray, int, int]] = []
-        waiting = 0
-
-        def reduced() -> Iterator[pa.RecordBatch]:
-            h, w = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            sizes = [len(x[0]) for x in held]
-            keys, first, back = np.unique(pairs_of(h, w), return_index=True, return_inverse=True)
-            n, t = (np.bincount(back, np.repeat([x[i] for x in held], sizes), len(keys)).astype(np.int64) for i in (2, 3))
-            held.clear()
-            yield from in_rows(["p", "h", "w", "n", "t"], keys, h[first], w[first], n, t)
-
-        for batch in batches:
-            for text, target in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                ids = tokens.of(text)
-                held.append((ids[:-1], ids[1:], int(target is not None), int(bool(target))))
-                waiting += len(ids)
-                if waiting >= CHUNK:
-                    yield from reduced()
-                    waiting = 0
-        if held:
-            yield from reduced()
-
-    part = in_arrow(docs, run, "p bigint, h bigint, w bigint, n bigint, t bigint")
-    return part.groupBy("p").agg(F.max("h").alias("h"), F.max("w").alias("w"), F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-
-def pairs_in(docs: DataFrame, vocabulary: list[str] | None) -> DataFrame:
-    """(d, text) to (d, p, k, s): how often each pair occurs in a text, and 1 on one row of a text.
-
-    A task lists a text that it meets again under the same ``d`` once.
+    def run(part: pa.Table, answers: pa.Table) -> pa.Table:
+        own = Chunk(part.column("text"), Words() if shared.value is None else Tokens(shared.value))
+        answers = answers.sort_by("range")
+        lists = [unpacked(d, k, 2) for d, k in zip(answers.column("data").to_pylist(), answers.column("size").to_pylist(), strict=True)]
+        counts = np.concatenate([*lists, np.zeros((2, 0), np.uint64)], axis=1)
+        if counts.shape[1] != len(own.keys):
+            raise ValueError("a chunk's rows changed between its two readings")
+        found = pa.table([part.column("d"), pa.array(own.sizes), pa.array(own.losses(counts[1], t, size)), pa.array(own.losses(counts[0], n, size))], names)
+        return found.filter(part.column("wanted"))
+
+    kind = rows.schema["d"].dataType.simpleString()
+    thin = rows.select("chunk", "d", "text", "wanted").groupBy("chunk")
+    return thin.cogroup(told.select("chunk", "range", "size", "data").groupBy("chunk")).applyInArrow(run, f"d {kind}, n_tokens long, target_loss double, background_loss double")
+
+
+def chunks_of(*tables: DataFrame) -> int:
+    """The number of chunks for the texts of some tables."""
+    return 1 + sum(t.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0] for t in tables) // CHUNK_BYTES
+
+
+def dealt(chunks: int, *keys: Column) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(chunks)).alias("chunk")
+
+
+def scores_within(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, text) and the ids of the target documents to (doc_id, n_tokens, target_loss, background_loss, score).
+
+    All documents are counted for the background. Ids and texts meet in the chunks, so no text moves for the flag.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Words() if shared.value is None else Tokens(shared.value)
-        seen: set[int] = set()
-        held: list[tuple[np.ndarray, ...]] = []
-        waiting = 0
-        for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
-                if d in seen:
-                    continue
-                seen.add(d)
-                ids = tokens.of(text)
-                keys, k = np.unique(pairs_of(ids[:-1], ids[1:]), return_counts=True)
-                held.append((np.full(len(keys), d, np.int64), keys, k.astype(np.int64), (np.arange(len(keys)) == 0).astype(np.int64)))
-                waiting += len(keys)
-                if waiting >= ROWS:
-                    yield from in_rows(["d", "p", "k", "s"], *map(np.concatenate, zip(*held, strict=True)))
-                    held.clear()
-                    waiting = 0
-        if held:
-            yield from in_rows(["d", "p", "k", "s"], *map(np.concatenate, zip(*held, strict=True)))
-
-    return in_arrow(docs, run, "d bigint, p bigint, k bigint, s bigint")
-
-
-def loss(pair: str, word: str, before: str, total: int, size: int) -> Column:
-    """-ln p(w | h)."""
-    single = (F.col(word) + 1) / F.lit(float(total + size))
-    return F.log(F.col(before) + MU) - F.log(F.col(pair) + MU * single)
-
-
-def losses(pairs: DataFrame, size: int | None) -> DataFrame:
-    """The counts of ``pair_counts`` to (p, target, background): the losses of each pair."""
-    after = pairs.groupBy("w").agg(F.sum("n").alias("wn"), F.sum("t").alias("wt"))
-    before = pairs.groupBy("h").agg(F.sum("n").alias("hn"), F.sum("t").alias("ht"))
-    n, t, words = after.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("wn", "wt")), F.count_if(F.col("wn") > 0)).first()
-    size = words + 2 if size is None else size
-    both = pairs.join(rekeyed(after, "w"), "w").join(rekeyed(before, "h"), "h")
-    return both.select("p", loss("t", "wt", "ht", t, size).alias("target"), loss("n", "wn", "hn", n, size).alias("background"))
-
-
-def with_scores(docs: DataFrame, flagged: DataFrame, size: int | None = None, within: bool = False) -> DataFrame:
-    """``docs`` (doc_id, text) with n_tokens, target_loss, background_loss and score.
+    chunks, salt = chunks_of(docs), F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")
+    at = F.when(F.col("doc_id").isNull(), dealt(chunks, F.col("text"))).otherwise(dealt(chunks, F.col("doc_id"), salt)).alias("chunk")
+    rows = docs.select(at, F.col("doc_id").alias("d"), "text", F.lit(True).alias("counted"), F.lit(False).alias("target"), F.lit(True).alias("wanted"))
+    ids = chosen.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("d")).filter("d is not null").distinct()
+    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(dealt(chunks, F.col("d"), F.col("salt")), "d")
+    found = scored(rows, ids, chunks, None)
+    return found.select(F.col("d").alias("doc_id"), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
+
+
+def with_scores(docs: DataFrame, flagged: DataFrame, size: int | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, any others) with n_tokens, target_loss, background_loss and score.
 
     ``flagged`` has the corpus that the models count: text, and whether it belongs to the target.
-    ``within`` says that it has all texts of ``docs``, whose pairs then need not be listed again.
     """
     vocabulary = None if size is None else vocabulary_of(flagged, size)
-    told = flagged.select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    if not within:
-        told = told.union(docs.select("text", F.lit(None).cast("boolean")))
-    model = losses(written(pair_counts(told, vocabulary), "pairs"), None if vocabulary is None else Tokens(vocabulary).size)
-    key = F.xxhash64(text_of())
-    # copies of a text add to sums and counts alike: the means are those of one
-    met = pairs_in(docs.select(key.alias("d"), "text"), vocabulary).join(model, "p")
-    sums = met.groupBy("d").agg(*(F.sum(c).alias(f"__{c}") for c in ("k", "s")), *((F.sum(F.col("k") * F.col(c)) / F.sum("k")).alias(f"__{c}") for c in ("target", "background")))
+    chunks = chunks_of(docs, flagged)
+    th = F.xxhash64(text_of())
+    counted = flagged.select(F.monotonically_increasing_id().alias("d"), "text", F.lit(True).alias("counted"), F.coalesce("target", F.lit(False)).alias("target"), F.lit(False).alias("wanted"))
+    asked = docs.select(th.alias("d"), "text").distinct().select("d", "text", F.lit(False).alias("counted"), F.lit(False).alias("target"), F.lit(True).alias("wanted"))
+    rows = written(counted.unionByName(asked), "texts").select(dealt(chunks, F.col("d"), F.col("text")), "*")
+    found = scored(rows, None, chunks, vocabulary)
+    # equal texts have equal losses
+    sums = found.groupBy(F.col("d").alias("__d")).agg(*(F.max(c).alias(f"__{c}") for c in ("n_tokens", "target_loss", "background_loss")))
     new = ("n_tokens", "target_loss", "background_loss", "score")
-    found = docs.drop(*new).withColumn("__d", key).join(rekeyed(sums.withColumnRenamed("d", "__d"), "__d"), "__d", "left")
-    target, background = (F.coalesce(F.col(f"__{c}"), F.lit(0.0)) for c in ("target", "background"))
-    tokens = F.coalesce((F.col("__k") / F.col("__s")).cast("long"), F.lit(0).cast("long"))
-    return found.select(*docs.drop(*new).columns, *(c.alias(a) for c, a in zip((tokens, target, background, target - background), new, strict=True)))
+    own = [c for c in docs.columns if c.lower() not in new]
+    joined = docs.withColumn("__d", th).join(rekeyed(sums, "__d"), "__d", "left")
+    target, background = F.col("__target_loss"), F.col("__background_loss")
+    return joined.select(*[F.col(f"`{c}`") for c in own], *(c.alias(a) for c, a in zip((F.col("__n_tokens"), target, background, target - background), new, strict=True)))

@@ -50,11 +50,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document: the target are those labelled as of quality."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    chosen = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select(F.col("doc_id").alias("__id")).distinct()
-    # one plan at every size: texts and labels meet by shuffle, whichever is small here
-    flagged = docs.join(chosen.hint("merge"), F.col("doc_id") == F.col("__id"), "left").select("text", F.col("__id").isNotNull().alias("target"))
-    return lmscore.with_scores(docs, flagged, within=True).drop("text")
+    chosen = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    return lmscore.scores_within(documents(spark, sf_dir).select("doc_id", "text"), chosen)
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
