@@ -6,6 +6,7 @@ more; no helper looks at a column that it doesn't name. A null text counts as th
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,14 +50,42 @@ def rekeyed(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
 
 
+#: Bits of the filter of ``parted``: 16 MB, whatever the number of values.
+FILTER_BITS, BUCKET_BITS = 1 << 27, 1 << 15
+
+
+def parted(df: DataFrame, columns: list[str], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``columns`` may be a row of ``wanted``, all that are and few others, and the rows that surely are none.
+
+    The hashes of the wanted rows set bits of a bitmap of a fixed size, whose parts are broadcast,
+    so the second part needs no join. Beyond some hundred millions of wanted rows most bits are
+    set, and most rows are in the first part; the join that follows decides in any case.
+    """
+
+    def bit(names: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(FILTER_BITS))
+
+    own = bit(wanted.columns)
+    bits = wanted.select(F.floor(own / BUCKET_BITS).alias("__part"), (own % BUCKET_BITS).alias("__bit"))
+    parts = bits.groupBy("__part").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    at = bit(columns)
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(at % BUCKET_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    inside = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    joined = df.join(F.broadcast(parts), F.floor(at / BUCKET_BITS) == F.col("__part"), "left")
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return joined.filter(inside).select(*names), joined.filter(~inside).select(*names)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none."""
+    """The cluster's shared folder. One of our own only in a local session that names none; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
