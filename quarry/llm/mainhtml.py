@@ -3,9 +3,11 @@
 A page is read into text blocks in page order. A linear classifier over a block's words, links,
 marks and the elements around it gives the cost of calling it boilerplate or content; those are
 the capacities to the two terminals. Neighbouring blocks, and neighbours under one parent, are
-tied by edges that weaken with their distance in the element tree. The minimum cut separates
-content from boilerplate; blocks whose own evidence outweighs all their edges are settled first,
-which changes no cut, and the rest is solved by augmenting along shortest paths.
+tied by edges that halve with every further step between them in the element tree. The maximum
+flow from the content terminal to the other, found by blocking flows over shortest paths, gives
+the minimum cut, and the cut separates content from boilerplate. Marks of boilerplate are worth
+more than any edges; marks of content are not, so a heading, a date line or a paragraph of links
+goes with what stands around it.
 
 Defined cases: a null or empty page has the empty text; unclosed, misnested and cut-off markup
 is read as browsers do in the main (a tag that never ends is dropped); pages of any length are
@@ -16,7 +18,7 @@ replace input columns of the name.
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable
 from dataclasses import dataclass
 from html import unescape
@@ -40,22 +42,26 @@ HEAD = frozenset("base basefont bgsound head html link meta noframes noscript sc
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
+RAW_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'>]+)")
 NAMES = re.compile(r"[a-z]+")
 
 #: Classifier weights in favour of content, by element and by words of class, id and role.
-TAGS = {"article": 5.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "button": -9.0, "header": -4.0, "label": -3.0, "address": -2.0}
-GOOD = dict.fromkeys("article content entry post story main text body".split(), 1.5)
+TAGS = {"article": 1.2, "main": 0.8, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "dialog": -6.0, "button": -6.0, "header": -3.0, "label": -2.0, "address": -1.5}
+#: What counts for nothing inside an article: its own parts.
+OWN_PARTS = frozenset(("article", "header"))
+GOOD = dict.fromkeys("article content entry post story main text body".split(), 0.6)
 BAD = dict.fromkeys(
     "nav navbar navigation menu sidebar aside footer header masthead banner ad ads advert advertisement adverts advertising sponsor sponsored promo promotion cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription comment comments disqus reply replies respond related recommended share sharing social breadcrumb breadcrumbs pagination pager widget login signup search toolbar tags legal copyright disclaimer complementary contentinfo skip hidden".split(),
-    -9.0,
+    -6.0,
 )
 #: What an article's own class may say against it; other words there are about its page.
 STRAY = {n: BAD[n] for n in "ad ads advert advertisement sponsored promo comment comments reply replies related recommended".split()}
 STOCK = re.compile(r"©|\ball rights reserved\b|\bcopyright\b|\bcookies?\b|\bsign up\b|\blog ?in\b|\bsubscribe\b|\bprivacy policy\b", re.I)
-BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKED, STOCK_WEIGHT = -0.6, 0.06, 30, 0.7, -5.0, -3.0
-#: Edge weights: neighbours in the page, and nearness in the element tree.
-ADJACENT, NEAR = 0.4, 1.2
+BIAS, PER_WORD, MOST_WORDS, SENTENCE, LINKED, STOCK_WEIGHT = -0.6, 0.06, 30, 0.7, -2.2, -1.6
+LEAST_MARKS, MOST_MARKS = -8.0, 2.0
+#: Edge weights of neighbours in the page and of neighbours under one parent; steps in the tree between siblings, and steps beyond which an edge is as good as none.
+ADJACENT, SIBLINGS, BESIDE, FAR = 0.8, 0.4, 2, 12
 
 
 @dataclass
@@ -73,13 +79,14 @@ class Element:
 class Block:
     text: str
     linked: int
-    element: Element
+    element: Element  # where its text begins
+    box: Element  # the nearest element around that which breaks lines
 
 
 def element(tag: str, attributes: str, parent: Element | None) -> Element:
     """An element with the evidence of its name and marks, added to what stands around it."""
     story = parent is not None and parent.story
-    weight, unseen = 0.0 if story and tag == "article" else TAGS.get(tag, 0.0), tag in UNSEEN
+    weight, unseen = 0.0 if story and tag in OWN_PARTS else TAGS.get(tag, 0.0), tag in UNSEEN
     if attributes.strip():
         for m in ATTRIBUTE.finditer(attributes):
             name = (m[1] or m[5] or "").lower()
@@ -103,18 +110,28 @@ def blocks(html: str) -> list[Block]:
     begun = False
     top = Element("#page", None, 0, 0.0, False, False, False)
     here = owner = top
+    open_: Counter[str] = Counter()  # open elements by name, so that a stray end tag costs no walk
+
+    def leave(node: Element) -> None:
+        """Close ``node`` and all in it."""
+        nonlocal here
+        while here is not node.parent:
+            open_[here.tag] -= 1
+            here = here.parent
 
     def flush() -> None:
         nonlocal linked, parts, begun
         if begun:
             text = " ".join("".join(parts).split())
-            out.append(Block(text, min(linked, len(text)), owner))
+            box = owner
+            while box.parent is not None and box.tag not in BLOCK:
+                box = box.parent
+            out.append(Block(text, min(linked, len(text)), owner, box))
         parts, linked, begun = [], 0, False
 
     def end_head() -> None:
-        nonlocal here
         while here.tag == "head":
-            here = here.parent
+            leave(here)
 
     def say(raw: str) -> None:
         nonlocal linked, owner, begun
@@ -137,36 +154,37 @@ def blocks(html: str) -> list[Block]:
         if tag in BLOCK:
             flush()
         if m[1] or m[4]:
-            node = here
-            while node is not top and node.tag != tag:
-                node = node.parent
-            if node is not top:
-                here = node.parent
+            if open_[tag]:
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                leave(node)
             continue
         if tag not in HEAD:
             end_head()
         if tag in VOID:
             continue
-        if tag in BLOCK and tag != "br":
+        if tag in BLOCK and open_["p"]:
             node = here
             while node.tag in ("p", "b", "i", "em", "strong", "span", "a", "u", "font", "small"):
                 if node.tag == "p":
-                    here = node.parent
+                    leave(node)
                     break
                 node = node.parent
-        if tag in CLOSES:
+        if tag in CLOSES and any(open_[t] for t in CLOSES[tag][0]):
             ends, stops = CLOSES[tag]
             node = here
             while node is not top and node.tag not in stops:
                 if node.tag in ends:
-                    here = node.parent
+                    leave(node)
                     break
                 node = node.parent
         here = element(tag, m[3] if m[2] else m[6], here)
+        open_[tag] += 1
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(html, at)
+            close = RAW_ENDS[tag].search(html, at)
             at = close.end() if close else len(html)
-            here = here.parent
+            leave(here)
     say(html[at:])
     flush()
     return out
@@ -180,19 +198,19 @@ def evidence(block: Block) -> float:
         score += SENTENCE
     if words <= 25 and STOCK.search(block.text):
         score += STOCK_WEIGHT
-    return score + max(-12.0, min(6.0, block.element.weight))
+    return score + max(LEAST_MARKS, min(MOST_MARKS, block.element.weight))
 
 
 def nearness(x: Element, y: Element) -> float:
-    """1 / (1 + steps between two elements in the tree)."""
+    """1 for one element and for siblings, half of it for every further step between them in the tree."""
     steps = 0
-    while x is not y:
+    while x is not y and steps < FAR:
         if x.depth >= y.depth:
             x = x.parent
         else:
             y = y.parent
         steps += 1
-    return 1 / (1 + steps)
+    return 0.5 ** max(0, steps - BESIDE)
 
 
 def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
@@ -201,39 +219,25 @@ def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
     last: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, ADJACENT + NEAR * nearness(found[i - 1].element, b.element)))
-        parent = id(b.element.parent or b.element)
+            edges.append((i - 1, i, ADJACENT * nearness(found[i - 1].box, b.box)))
+        parent = id(b.box.parent or b.box)
         j = last.get(parent)
         if j is not None and j < i - 1:
-            edges.append((j, i, NEAR / 3))
+            edges.append((j, i, SIBLINGS))
         last[parent] = i
     return edges
 
 
 def labels(scores: list[float], edges: Iterable[tuple[int, int, float]]) -> list[bool]:
-    """The minimum cut: which blocks stay with the content terminal."""
-    scores = list(scores)
-    ties: list[dict[int, float]] = [{} for _ in scores]
+    """The minimum cut: which blocks stay with the content terminal. Evidence of one sign needs no flow."""
+    if not scores or min(scores) > 0 or max(scores) <= 0:
+        return [s > 0 for s in scores]
+    ties: dict[int, dict[int, float]] = {i: {} for i in range(len(scores))}
     for i, j, w in edges:
         ties[i][j] = ties[i].get(j, 0.0) + w
         ties[j][i] = ties[j].get(i, 0.0) + w
-    label: list[bool | None] = [None] * len(scores)
-    todo = deque(range(len(scores)))
-    while todo:  # evidence that outweighs all edges settles a block, and its edges become evidence
-        i = todo.popleft()
-        if label[i] is None and abs(scores[i]) >= sum(ties[i].values()):
-            label[i] = scores[i] > 0
-            for j, w in ties[i].items():
-                scores[j] += w if label[i] else -w
-                del ties[j][i]
-                todo.append(j)
-            ties[i] = {}
-    open_ = [i for i, known in enumerate(label) if known is None]
-    if open_:
-        content = cut([(i, scores[i]) for i in open_], {i: ties[i] for i in open_})
-        for i in open_:
-            label[i] = i in content
-    return label  # type: ignore[return-value]
+    content = cut(list(enumerate(scores)), ties)
+    return [i in content for i in ties]
 
 
 def cut(terminals: list[tuple[int, float]], ties: dict[int, dict[int, float]]) -> set[int]:
