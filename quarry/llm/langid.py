@@ -5,68 +5,65 @@ longest order of character n-grams (with word ends) of which any is known, and s
 of the known ones. A text's score is the mean of its words' scores.
 
 The model is fitted on a bounded sample of labelled rows: about ROWS distinct texts of each language,
-chosen by a hash of the text and counted as often as their rows come, and holds WORDS words and GRAMS n-grams of each order for a
-language; these are its documented bounds, and with them its size as a broadcast. Prediction
-reads every whole text and nothing else.
+chosen by a hash of the text and counted as often as their rows come. That is its documented bound
+and with it its size as a broadcast; every word and n-gram of the sample is kept. Prediction
+reads every whole text and nothing else. A word is a run of letters (category L), in both.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, as is every text
 where nothing was learned; ties go to the language first by code point; equal texts get equal
-results; an empty table gives an empty table; result columns replace input columns of the name.
+results, repeated rows as well; texts of any length are read whole; an empty table gives an empty
+table; result columns replace input columns of the name.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.common import in_arrow
 
-#: Bounds of the model: distinct texts, words, and n-grams of each order for every language; the orders.
-ROWS, WORDS, GRAMS, ORDER = 3_000, 30_000, 8_000, 5
+#: Distinct texts of each language that the model learns from, and its longest n-grams.
+ROWS, ORDER = 3_000, 5
 #: Words after which a text's evidence counts as full when the score is formed.
 EVIDENCE = 20
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = r"\p{L}+"
 UNKNOWN = "und"
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS, words: int = WORDS, grams: int = GRAMS) -> dict:
-    """The model of (text, lang) rows: languages, row numbers of words and n-grams, log frequencies."""
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = ROWS) -> dict:
+    """The model of (text, lang) rows: languages, row numbers of words and of n-grams by order, log frequencies."""
     pairs = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
     texts = pairs.select("lang", F.xxhash64("text").alias("th")).distinct()
     sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return {"languages": [], "rows": {}, "values": np.zeros((0, 0), np.float32)}
+        return {"languages": [], "rows": {}, "grams": [{}] * (ORDER + 1), "values": np.zeros((0, 0), np.float32)}
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, rows / n))) for k, n in sizes.items()])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     sample = pairs.filter(draw < share).groupBy("lang", "text").agg(F.count("*").alias("copies"))
-    found = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    found = F.regexp_extract_all(F.lower("text"), F.lit(f"({LETTERS})"), F.lit(1))
     counted = sample.select("lang", "copies", F.explode(found).alias("item")).groupBy("lang", "item").agg(F.sum("copies").alias("n"))
     ends = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
     cut = F.flatten(F.array(*[_cut(ends, order) for order in range(1, ORDER + 1)]))
     gram = counted.select("lang", "n", F.explode(cut).alias("item")).filter("item != ' '").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    both = _most(counted, [F.lit(0)], words).unionByName(_most(gram, [F.length("item")], grams)).toArrow()
-    table: dict[tuple[int, str], int] = {}
-    at, order, item, n = (both.column(c).to_pylist() for c in ("lang", "order", "item", "n"))
-    for key in zip(order, item, strict=True):
-        table.setdefault(key, len(table))
-    number = {k: i for i, k in enumerate(languages)}
-    counts = np.zeros((len(table), len(languages)))
-    for k, o, i, c in zip(at, order, item, n, strict=True):
-        counts[table[o, i], number[k]] += c
-    values = np.zeros_like(counts)
-    of = np.array([o for o, _ in table])
-    for o in np.unique(of):
-        part = of == o
-        own = counts[part]
-        values[part] = np.log((own + 0.5) / (own.sum(axis=0) + 0.5 * len(own)))
-    return {"languages": languages, "rows": {i if not o else (o, i): r for (o, i), r in table.items()}, "values": values.astype(np.float32)}
+    both = counted.withColumn("order", F.lit(0)).unionByName(gram.withColumn("order", F.length("item"))).select("lang", "order", "item", "n").toPandas()
+    values, dicts = [], []
+    for order in range(ORDER + 1):
+        part = both[both["order"] == order]
+        place, items = pd.factorize(part["item"], sort=True)
+        counts = np.zeros((len(items), len(languages)))
+        np.add.at(counts, (place, pd.Categorical(part["lang"], languages).codes), part["n"])
+        start = sum(map(len, values))
+        dicts.append({item: start + i for i, item in enumerate(items)})
+        values.append(np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts))).astype(np.float32))
+    return {"languages": languages, "rows": dicts[0], "grams": [{}, *dicts[1:]], "values": np.concatenate(values)}
 
 
 def _cut(item: Column, order: int) -> Column:
@@ -74,17 +71,10 @@ def _cut(item: Column, order: int) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(item, i, F.lit(order)))).otherwise(F.array().cast("array<string>"))
 
 
-def _most(counted: DataFrame, order: list[Column], most: int) -> DataFrame:
-    ranked = counted.withColumn("order", order[0].cast("int"))
-    place = F.row_number().over(Window.partitionBy("lang", "order").orderBy(F.desc("n"), "item"))
-    return ranked.withColumn("place", place).filter(F.col("place") <= most).select("lang", "order", "item", "n")
-
-
 class Identifier:
     def __init__(self, model: dict) -> None:
-        self.languages, self.values = model["languages"], model["values"].astype(float)
-        self.words = {k: r for k, r in model["rows"].items() if isinstance(k, str)}
-        self.grams = [{k[1]: r for k, r in model["rows"].items() if not isinstance(k, str) and k[0] == o} for o in range(ORDER + 1)]
+        self.languages, self.values, self.words, self.grams = (model[k] for k in ("languages", "values", "rows", "grams"))
+        self.found = regex.compile(LETTERS).findall
 
     def backoff(self, word: str) -> list[int]:
         """Row numbers of the known n-grams of the longest order that has any."""
@@ -97,12 +87,12 @@ class Identifier:
         return []
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else ()
+        words = self.found(text.lower()) if text else ()
         if not words or not self.languages:
             return UNKNOWN, 0.0
         rows = list(map(self.words.get, words))
         known = [r for r in rows if r is not None]
-        total = self.values[known].sum(axis=0)
+        total = self.values[known].sum(axis=0, dtype=float)
         if len(known) < len(rows):
             parts = [p for w, r in zip(words, rows, strict=True) if r is None and (p := self.backoff(w))]
             if parts:
