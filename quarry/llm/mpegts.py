@@ -1,15 +1,17 @@
 """Media columns: payloads stored as MPEG transport streams, and read back from them.
 
-A payload becomes one elementary stream of private data in one program. The stream starts with
-a program association table and a program map table (ISO/IEC 13818-1, with their CRC-32), then
-carries the payload in PES packets of UNIT bytes. Every PES packet has a presentation time stamp;
-the first of every RANDOM_ACCESS carries the random access flag and a clock reference. Packets
-are 188 bytes, continuity counters run per PID, short packets are filled by adaptation fields.
+A payload becomes one elementary stream of private data in one program, carried in PES packets
+of UNIT bytes. Every PES packet has a presentation time stamp; the first of every RANDOM_ACCESS
+carries the random access flag and a clock reference, and stands behind a program association
+table and a program map table (ISO/IEC 13818-1, with their CRC-32), so a reader may cut in at any
+packet and read from the next entry point on. Packets are 188 bytes, continuity counters run per
+PID, short packets are filled by adaptation fields.
 
 Reading goes by the tables found in the stream: the association table names the map table's
-PID, the map table names the elementary PIDs, sections are checked by CRC, the continuity
-counters of every PID are checked, and PES packets are put together again and checked against
-their lengths. Timestamps are kept with their random access flags and byte offsets.
+PID, the map table names the elementary PIDs, sections are put together from the packets that
+they run over and checked by CRC, the continuity counters of every PID are checked, and PES
+packets are put together again and checked against their lengths. Timestamps are kept with their
+random access flags and byte offsets.
 
 Defined cases: null and empty texts are payloads of blanks; payloads of any length are whole;
 a damaged stream gives the errors counted and the bytes that can be read; equal texts give equal
@@ -69,14 +71,17 @@ def section(table: int, ident: int, body: bytes) -> bytes:
     return head + struct.pack(">I", section_crc(head))
 
 
-def section_packet(pid: int, data: bytes) -> bytes:
-    head = struct.pack(">BHB", SYNC, 0x4000 | pid, 0x10)
-    return (head + b"\0" + data).ljust(PACKET, b"\xff")
+def section_packets(pid: int, data: bytes, counter: int = 0) -> list[bytes]:
+    """The packets of a section, numbered from ``counter`` on; the last is filled up."""
+    body = b"\0" + data
+    room = PACKET - 4
+    return [(struct.pack(">BHB", SYNC, (0 if at else 0x4000) | pid, 0x10 | counter + at // room & 15) + body[at : at + room]).ljust(PACKET, b"\xff") for at in range(0, len(body), room)]
 
 
-HEADER = section_packet(PAT_PID, section(0, 1, struct.pack(">HH", PROGRAM, 0xE000 | PMT_PID))) + section_packet(
-    PMT_PID, section(2, PROGRAM, struct.pack(">HH", 0xE000 | DATA_PID, 0xF000) + struct.pack(">BHH", STREAM_TYPE, 0xE000 | DATA_PID, 0xF000))
-)
+ASSOCIATION = section(0, 1, struct.pack(">HH", PROGRAM, 0xE000 | PMT_PID))
+MAP = section(2, PROGRAM, struct.pack(">HH", 0xE000 | DATA_PID, 0xF000) + struct.pack(">BHH", STREAM_TYPE, 0xE000 | DATA_PID, 0xF000))
+#: The tables' packets for each value of their counters, which run alike as either table takes one packet.
+TABLES = [b"".join(section_packets(PAT_PID, ASSOCIATION, i) + section_packets(PMT_PID, MAP, i)) for i in range(16)]
 
 
 def stamp(ticks: int) -> bytes:
@@ -86,12 +91,14 @@ def stamp(ticks: int) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """The transport stream of a payload."""
-    out, counter = [HEADER], 0
+    out, counter = [], 0
     for number, start in enumerate(range(0, len(payload), UNIT)):
         unit = payload[start : start + UNIT]
         ticks = number * TICKS & 0x1FFFFFFFF
         pes = b"\0\0\1" + struct.pack(">BHBBB", STREAM_ID, len(unit) + 8, 0x84, 0x80, 5) + stamp(ticks) + unit
         entry = number % RANDOM_ACCESS == 0
+        if entry:
+            out.append(TABLES[number // RANDOM_ACCESS & 15])
         field_ = bytes((7, 0x50)) + struct.pack(">IH", ticks >> 1, (ticks & 1) << 15 | 0x7E00) if entry else b""
         at = 0
         while at < len(pes):
@@ -133,6 +140,28 @@ def demux(stream: bytes) -> Stream:
     parts: dict[int, list[bytes]] = {}
     sizes: dict[int, int] = {}
     repeated: dict[int, bytes] = {}
+    sections: dict[int, bytes] = {}  # table PID to what its packets have brought of a section
+
+    def tables(pid: int, body: bytes, begins: bool) -> None:
+        """Put sections together; a packet in which one begins says where, and ends the one before it."""
+        if begins:
+            if pid in sections:
+                got.errors += bool(read(pid, sections.pop(pid) + body[1 : 1 + body[0]]))
+            sections[pid] = read(pid, body[1 + body[0] :])
+        elif pid in sections:
+            sections[pid] = read(pid, sections[pid] + body)
+        if not sections.get(pid, b"x"):
+            del sections[pid]
+
+    def read(pid: int, data: bytes) -> bytes:
+        """Take the whole sections off the data; what is left of one that goes on."""
+        while data and data[0] != 0xFF:
+            size = 3 + (struct.unpack_from(">H", data, 1)[0] & 0x0FFF) if len(data) >= 3 else PACKET
+            if len(data) < size:
+                return data
+            _table(got, pid, data[:size])
+            data = data[size:]
+        return b""
 
     def close(pid: int) -> None:
         pes = b"".join(open_.pop(pid, ()))
@@ -175,11 +204,12 @@ def demux(stream: bytes) -> Stream:
             if counter == before and repeated.get(pid) == stream[at : at + PACKET]:
                 continue
             got.errors += 1
+            sections.pop(pid, None)
         repeated[pid] = stream[at : at + PACKET]
         body = stream[start : at + PACKET]
         if pid == PAT_PID or pid in got.programs.values():
-            if begins and body:
-                _tables(got, pid, body[1 + body[0] :])
+            if body:
+                tables(pid, body, bool(begins))
         elif pid in got.kinds:
             if begins:
                 flagged = entry.pop(pid, False) if flags & 0x20 else False
@@ -191,20 +221,17 @@ def demux(stream: bytes) -> Stream:
                 open_[pid].append(body)
     for pid in list(open_):
         close(pid)
-    got.errors += bool(len(stream) % PACKET)
+    got.errors += bool(len(stream) % PACKET) + len(sections)
     got.data = {pid: b"".join(parts.get(pid, ())) for pid in got.kinds}
     return got
 
 
-def _tables(got: Stream, pid: int, data: bytes) -> None:
-    if len(data) < 12:
-        got.errors += 1
-        return
-    table, size = data[0], struct.unpack_from(">H", data, 1)[0] & 0x0FFF
-    whole = data[: size + 3]
-    if section_crc(whole):
+def _table(got: Stream, pid: int, whole: bytes) -> None:
+    """Note what a whole section says."""
+    if len(whole) < 12 or section_crc(whole):
         got.errors += 1
         return
+    table, size = whole[0], len(whole) - 3
     if pid == PAT_PID and table == 0:
         for at in range(8, size - 1, 4):
             program, where = struct.unpack_from(">HH", whole, at)
