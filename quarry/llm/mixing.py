@@ -2,10 +2,11 @@
 
 Words are counted per source, each source gets a target share of the whole, and every document
 is emitted floor(rate) times, plus once more where a hash of its id falls below the fraction.
-The draw depends on the id alone, so reruns and lost executors change nothing.
+The draw depends on the id and the text alone, so reruns and lost executors change nothing, and
+rows that share an id, or have none, draw apart.
 
 Defined cases: a null text has size 0; null is a source of its own, ordered last; a null doc_id
-draws as the text 'null'; repeated rows are mixed row by row and draw alike; a source without
+draws as the id 'null'; rows that repeat id and text are mixed row by row and draw alike; a source without
 words has target 0 and its documents are taken once more or less as any other's rate of 0: not
 at all; an empty table gives an empty table. Other columns are passed through untouched by
 ``repeated``; ``rates`` returns only its own.
@@ -60,9 +61,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: fl
     )
 
 
-def draw(doc_id: Column) -> Column:
-    """A number in [0, 1) from the id: the first 32 bits of its MD5."""
-    digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary"))
+def draw(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) from the id and the text: the first 32 bits of their MD5."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / DRAW_RANGE
 
 
@@ -88,18 +89,19 @@ def rate() -> Column:
 
 def rates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies. No text moves."""
-    thin = docs.select("doc_id", "source", size_of(text_of()).alias("size"))
+    thin = docs.select("doc_id", "source", size_of(text_of()).alias("size"), draw(F.col("doc_id"), text_of()).alias("__draw"))
+    thin = written(thin, "sizes")
     joined = with_targets(thin, thin.select("source", "size"))
-    return joined.select("doc_id", "source", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), copies_of(rate()).alias("copies"))
+    return joined.select("doc_id", "source", "size", F.col("__size").alias("source_size"), F.col("__target").alias("target"), copies_of(rate(), F.col("__draw")).alias("copies"))
 
 
-def copies_of(rate: Column) -> Column:
+def copies_of(rate: Column, drawn: Column) -> Column:
     whole = F.floor(rate)
-    return (whole + F.when(draw(F.col("doc_id")) < rate - whole, 1).otherwise(0)).cast("long")
+    return (whole + F.when(drawn < rate - whole, 1).otherwise(0)).cast("long")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; the columns stay as they are."""
     joined = with_targets(docs, docs.select("source", size_of(text_of()).alias("size")))
-    copies = joined.withColumn("__copies", copies_of(rate())).filter("__copies > 0")
+    copies = joined.withColumn("__copies", copies_of(rate(), draw(F.col("doc_id"), text_of()))).filter("__copies > 0")
     return copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -52,13 +52,13 @@ FROM t LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON a = t.doc_id"""
 
 _WEIGHTS = "[" + ", ".join(f"{float(w)}::DOUBLE" for w in mixing.WEIGHTS) + "]"
 OP9 = rf"""
-WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, len({WORDS})::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, {_WEIGHTS}[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1)::INT] AS weight FROM d GROUP BY source),
 f AS (SELECT *, {mixing.CEILING}::DOUBLE * source_size AS most, {mixing.CEILING}::DOUBLE * source_size / weight AS fill FROM s),
 l AS (SELECT *, ({mixing.SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM f),
 g AS (SELECT *, arg_min(CASE WHEN fill > level THEN level END, CASE WHEN fill > level THEN fill END) OVER () AS met FROM l),
 t AS (SELECT source, source_size, CASE WHEN met IS NULL THEN most ELSE least(most, met * weight) END AS target FROM g),
-r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / {float(mixing.DRAW_RANGE)}::DOUBLE AS u
+r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || text), 1, 8))::BIGINT / {float(mixing.DRAW_RANGE)}::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r"""
 
