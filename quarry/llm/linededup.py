@@ -1,12 +1,12 @@
 """Line dedup across documents.
 
 A line's key is the line without surrounding blanks, A-Z in lower case. Keys travel as two
-64-bit hashes, never as text. Occurrences are range-partitioned by (key, block of documents) and
+64-bit hashes, never as text; texts are split once, and the occurrences written. They are range-partitioned by (key, block of documents) and
 sorted by document and position inside, so a stream over each partition sees a key's first
 occurrence and every new document in turn. Blocks split a hot key over many partitions; what
 remains per key and partition is one partial row, summed afterwards. The answer returned for a
 document is its keep bitmap in run form (kept runs of line numbers), not its text; a document
-without one keeps all.
+without one keeps all, and only the texts of the others move to meet theirs.
 
 Defined cases: a null or empty text is one empty line; lines without a key are always kept; a
 key repeated inside one document counts that document once; rows with equal doc_id and text
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLANKS, let, lower_ascii, rekeyed, text_of
+from quarry.llm.common import BLANKS, let, lower_ascii, parted, rekeyed, text_of, written
 
 #: A key found in so many documents is repeated text.
 MIN_DOCS = 10
@@ -54,12 +54,13 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     """
     block = F.pmod(F.xxhash64("doc_id", "th"), F.lit(BLOCKS)).cast("int")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = occurrences(docs).withColumn("block", block).repartitionByRange(n, *KEY, "block")
+    found = written(occurrences(docs), "occurrences")
+    ranged = found.withColumn("block", block).repartitionByRange(n, *KEY, "block")
     stream = Window.partitionBy(*KEY, "block").orderBy("doc_id", "th", "pos")
     here = F.struct("doc_id", "th")
     seen = ranged.withColumn("new", F.coalesce(F.lag(here).over(stream) != here, F.lit(True)))
     repeats = seen.groupBy(*KEY).agg(F.sum(F.col("new").cast("long")).alias("n_docs"), F.min(F.when(F.col("new"), F.struct("doc_id", "th", "pos"))).alias("first")).filter(F.col("n_docs") >= min_docs)
-    dropped = occurrences(docs).join(rekeyed(repeats.select(*KEY, "first"), *KEY), KEY)
+    dropped = found.join(rekeyed(repeats.select(*KEY, "first"), *KEY), KEY)
     if keep_first:
         dropped = dropped.filter(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
     gone = dropped.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
@@ -76,7 +77,10 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     """``docs`` with the columns n_lines, keep (the bitmap in run form) and kept_text; a column of such a name is replaced."""
     bitmaps = keep_bitmaps(docs, min_docs, keep_first).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("keep").alias("__keep"))
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "keep", "kept_text")]
-    joined = docs.withColumn("__own", text_hash()).join(bitmaps, F.col("__own").eqNullSafe(F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    bitmaps = written(bitmaps, "bitmaps")
+    losing, whole_ = parted(docs.withColumn("__own", text_hash()), ["doc_id", "__own"], bitmaps.select("__doc", "__th"))
+    joined = losing.join(bitmaps, F.col("__own").eqNullSafe(F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    joined = joined.unionByName(whole_, allowMissingColumns=True)
     lines, whole = lines_of(text_of()), F.col("__keep").isNull()
     n = F.size(lines)
     closed = F.filter(F.transform("__keep", lambda r: F.struct(r["start"].alias("start"), F.least(r["len"], n - r["start"]).alias("len"))), lambda r: r["len"] > 0)
