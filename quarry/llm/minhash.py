@@ -12,10 +12,11 @@ Classes of one bucket that the centres leave in different components become a pa
 three exact bounds leave a link possible: the set sizes; the distances to the shared centre
 (Jaccard distance is a metric, so |d(x, c) - d(y, c)| <= d(x, y)); and the parity bitmaps (each
 element flips one of PARITY bits, so the bits that differ are at most the elements that differ).
-That second step is exact and has no cap.
+The first two are join keys as well, as ranges of which a pair shares one or lies in two that
+touch, so classes that differ in size or distance never meet. That second step is exact and has no cap.
 
 The bands find a pair of similarity s with probability 1 - (1 - s^ROWS)^BANDS: 1 - 4e-7 at the
-contract's 0.85, 1 - 3e-5 at 0.8 and more above.
+contract's 0.85, 1 - 5e-5 at 0.8 and more above.
 
 Defined cases: a document without words has the empty set and is its own component; fewer words
 than a shingle make one shingle of them all; equal texts and repeated rows share a component; a
@@ -25,6 +26,8 @@ one doc_id count as linked; texts are read whole; an empty table gives an empty
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import in_arrow, let, lower_ascii, rekeyed, text_of, words_of, written
+from quarry.llm.common import dropped, in_arrow, let, lower_ascii, parted, rekeyed, text_of, words_of, written
 from quarry.llm.graph import components
 
 BANDS, ROWS = 25, 5
@@ -172,7 +175,8 @@ def groups(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
 
     # only classes that share a bucket have their sets worked out again, from the whole texts
     wanted = members.select("rep").distinct()
-    sets = docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi").select(F.col("doc_id").alias("rep"), shingles_of(text_of(), shingle).alias("shingles"))
+    near, _ = parted(docs, ["doc_id"], wanted)
+    sets = near.join(wanted, near["doc_id"] == wanted["rep"], "left_semi").select(F.col("doc_id").alias("rep"), shingles_of(text_of(), shingle).alias("shingles"))
     sets = written(sets, "sets")
     starred = written(similar(members.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), sets), "starred")
     linked = starred.filter(passes(percent)).select("a", "b")
@@ -186,8 +190,14 @@ def groups(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
     bits = full.select(F.col("doc_id").alias("rep"), "n_shingles", "parity")
     rest = rest.select("band", "rep", F.col("n").alias("n_shingles"), "component", "d").join(bits, ["rep", "n_shingles"]).withColumnRenamed("n_shingles", "n")
     rest = written(rest, "rest")
-    x, y = rest.alias("x"), rest.alias("y")
     slack = 1 - percent / 100 + 1e-9
+    # in units of the most that a pair may differ by, a range is two wide, and so lies within one of the two ranges around its partner
+    units = {"by_size": F.log(F.col("n")) / -math.log(percent / 100), "by_distance": F.col("d") / slack}
+    x = rest.select("*", *[F.floor(v / 2).alias(c) for c, v in units.items()]).alias("x")
+    y = rest
+    for c, v in units.items():
+        y = y.withColumn(c, F.explode(F.sequence(F.floor((v - 1.0001) / 2), F.floor((v + 1.0001) / 2))))
+    y = y.alias("y")
     differ = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
     possible = (
         (F.col("x.component") != F.col("y.component"))
@@ -198,10 +208,12 @@ def groups(docs: DataFrame, percent: int = 85, shingle: int = 3) -> DataFrame:
         & (F.col("y.d") > 0)
         & (differ * (100 + percent) <= (100 - percent) * (F.col("x.n") + F.col("y.n")))
     )
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & possible).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    keys = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "by_size", "by_distance")]
+    pairs = x.join(y, functools.reduce(lambda a, b: a & b, keys) & possible).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     late = similar(pairs, sets).filter(passes(percent)).select("a", "b")
     joined = first.filter("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     found = components(joined.unionByName(late)).select(F.col("node").alias("rep"), F.col("component"))
+    dropped(members, sets, starred, rest)
 
     by_class = classes.join(found, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     return signed.join(by_class, same, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
