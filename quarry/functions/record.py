@@ -28,19 +28,19 @@ HASHED_FIELDS = (
     "status", "resolution_date", "inquiry_type", "area_of_vehicle", "oem_part_number", "issue_summary",
     "suggested_action", "resolution", "year", "make", "model", "body", "submitted_datetime",
 )
-#: Patterns of a provider in a query: each counts once.
+#: Fixed patterns of a provider in a query: each counts once.
 QUERY_PROVIDERS = {
     "CCC": (r"\bmotor\b", r"\bgte\b", r"\bp[\s-]?pages?\b", r"\bccc\b"),
     "Mitchell": (r"\bmitchell\b", r"\bmws\b"),
     "Audatex": (r"\baudatex\b", r"\bdbrm\b", r"\bsolera\b", r"\bqapter\b"),
 }
-#: Patterns of a provider in a record's text: every occurrence counts.
+#: Fixed patterns of a provider in a record's text: every occurrence counts.
 TEXT_PROVIDERS = {
     "CCC": (r"(?i)\bMOTOR\b", r"(?i)\bGTE Pages?\b", r"(?i)\bP-pages?\b", r"(?i)\bCCC\b"),
     "Mitchell": (r"(?i)\bMitchell DBRM\b", r"(?i)\bMitchell\b", r"(?i)\bMWS\b"),
     "Audatex": (r"(?i)\bAudatex\b", r"(?i)\bDBRM Section\b", r"(?i)\bSolera\b", r"(?i)\bQapter\b"),
 }
-#: Blanks as browsers and scripts see them, the no-break space and its kin included.
+#: Fixed: blanks as browsers and scripts see them, the no-break space and its kin included.
 WIDE_BLANKS = r"[\s   -     　﻿]+"
 
 
@@ -75,8 +75,8 @@ def one_of(column: Column, values: tuple[str, ...], other: str | None = None) ->
 
 
 def lenient_int(text: Column) -> Column:
-    """The leading integer of a text, after blanks and a sign; null without one."""
-    return F.regexp_extract(text, r"^\s*([+-]?[0-9]{1,18})", 1).try_cast("bigint")
+    """The leading integer of a text, after blanks and a sign; null without one. Of digits beyond 64 bits the first 18 count."""
+    return F.coalesce(*[F.regexp_extract(text, rf"^\s*([+-]?[0-9]{most})", 1).try_cast("bigint") for most in ("+", "{1,18}")])
 
 
 def labour_type(inquiry_type: Column) -> Column:
@@ -127,7 +127,7 @@ def implausible_make(make: Column) -> Column:
 def sections(description: Column) -> Column:
     """struct(issue_summary, suggested_action, area_of_vehicle) of a text with Section<N>_<Field> marks; the first non-empty of each wins."""
     found = F.transform(
-        F.slice(F.split(F.concat(F.lit(" "), description), r"(?=\sSection[0-9]+_[A-Za-z0-9_]+\s)"), 1, 1_000_000),
+        F.split(F.concat(F.lit(" "), description), r"(?=\sSection[0-9]+_[A-Za-z0-9_]+\s)"),
         lambda part: F.struct(F.lower(F.regexp_extract(part, r"^\sSection[0-9]+_([A-Za-z0-9_]+)\s", 1)).alias("name"), F.trim(F.regexp_replace(part, r"^\sSection[0-9]+_[A-Za-z0-9_]+\s+", "")).alias("value")),
     )
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import sync
+
 
 def frequency(rows: DataFrame, column: str, missing: str = "unknown") -> DataFrame:
     """(value, n) of a column, most frequent first, names among equals."""
@@ -63,15 +67,57 @@ def estimate(queue: DataFrame, batch: int = 500, seconds: int = 2) -> DataFrame:
     return queue.groupBy("pass").agg(F.count("*").alias("n")).select("pass", "n", F.round(F.col("n") * seconds / 60).cast("long").alias("minutes"), F.ceil(F.col("n") / batch).alias("batches"))
 
 
+#: Leading characters of an id by which records are dealt out to be ranked.
+HEAD = 4
+#: What a report lists in full: skipped items, errors, ids of a cohort.
+SKIPPED_SHOWN, ERRORS_SHOWN, IDS_SHOWN = 25, 20, 20
+
+
 def positions(corpus: DataFrame) -> DataFrame:
-    """The first, middle and last record by id as text."""
-    from pyspark.sql import Window
-
-    n = corpus.agg(F.count("*").alias("n"))
-    ranked = corpus.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id())
-    # one running count per range of ids; the ranges' offsets are a row each
-    sizes = ranked.groupBy("part").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("id"))
-    rows = ranked.withColumn("in_part", place).join(F.broadcast(sizes.select("part", "before")), "part").withColumn("place", F.col("before") + F.col("in_part")).join(F.broadcast(n))
-    wanted = F.col("place").isin(1) | (F.col("place") == F.floor(F.col("n") / 2) + 1) | (F.col("place") == F.col("n"))
-    return rows.filter(wanted).select("place", "id")
+    """The first, middle and last record by id as text.
+
+    Ids are counted by their heads; the heads' running counts, a row each, say in which heads the
+    wanted places lie, and only the ids there are ranked.
+    """
+    ids = corpus.select("id", F.substring("id", 1, HEAD).alias("head"))
+    heads = ids.groupBy("head").agg(F.count("*").alias("size")).withColumn("upto", F.sum("size").over(Window.orderBy("head")))
+    n = F.col("n")
+    heads = heads.withColumn("n", F.max("upto").over(Window.partitionBy()))
+    wanted = heads.withColumn("place", F.explode(F.array_distinct(F.array(F.lit(1).cast("long"), F.floor(n / 2) + 1, n)))).withColumn("before", F.col("upto") - F.col("size"))
+    wanted = wanted.filter((F.col("before") < F.col("place")) & (F.col("place") <= F.col("upto"))).select("head", "before", "place")
+    ranked = ids.join(F.broadcast(wanted.select("head").distinct()), "head").withColumn("in_head", F.row_number().over(Window.partitionBy("head").orderBy("id")))
+    return ranked.join(F.broadcast(wanted), "head").filter(F.col("before") + F.col("in_head") == F.col("place")).select("place", "id")
+
+
+def first_ids(corpus: DataFrame, most: int = 5) -> DataFrame:
+    """The first ids of a corpus, as a report shows them: a top-k."""
+    return corpus.select("db_id").orderBy("db_id").limit(most)
+
+
+def skipped(items: DataFrame, run_id: int, most: int = SKIPPED_SHOWN) -> DataFrame:
+    """The first skipped items of a run with status and reason: a top-k."""
+    return items.filter((F.col("run_id") == run_id) & (F.col("state") == "skipped")).select("db_id", "http_status", "reason").orderBy("db_id").limit(most)
+
+
+def cohorts(live: DataFrame, held: DataFrame, today: str, window: int, index_only: bool = False) -> DataFrame:
+    """(cohort, n, first_id, last_id) of a sync plan, a row for every cohort, the queue included."""
+    none = held.select("db_id").limit(0)
+    parts = {
+        "new": sync.new_ids(live, held),
+        "gaps": sync.gap_ids(live, held, high_water(held)),
+        "changed": sync.changed_ids(live, held),
+        "unresolved": none if index_only else sync.unresolved_ids(held),
+        "suspected": sync.suspected_ids(held),
+        "blank": none if index_only else sync.blank_resolved_ids(held, today),
+        "trailing": none if index_only else sync.trailing_ids(held, window),
+        "delisted": sync.delisted_ids(live, held),
+        "reappeared": sync.reappeared_ids(live, held),
+        "queue": sync.queue(live, held, today, window, index_only).select("db_id"),
+    }
+    found = functools.reduce(DataFrame.unionByName, [ids.agg(F.count("*").alias("n"), F.min("db_id").alias("first_id"), F.max("db_id").alias("last_id")).withColumn("cohort", F.lit(name)) for name, ids in parts.items()])
+    return found.select("cohort", "n", "first_id", "last_id")
+
+
+def first_rows(rows: DataFrame, column: str = "db_id", most: int = IDS_SHOWN) -> list:
+    """A list of ids as a report shows it, no longer than ``most``."""
+    return [r[0] for r in rows.select(column).orderBy(column).limit(most).collect()]

@@ -70,6 +70,29 @@ def served(raw: DataFrame) -> DataFrame:
     )
 
 
+#: A URL as the served schema wants it: a scheme, and a host where the scheme has one.
+URL = r"^(?i)(?:(?:https?|wss?|ftp)://[^\s/?#]+\S*|(?!(?:https?|wss?|ftp):)[a-z][a-z0-9+.-]*:\S*)$"
+
+
+def violations() -> Column:
+    """What the served schema has against a served row: an array of reasons, empty for a good row."""
+    needed = [F.when(C(c).isNull(), F.lit(f"{c} is missing")) for c in ("id", "inquiry_number", "title", "url", "status", "submitted_at", "last_updated", "metadata")]
+    listed = [
+        F.when(~C("url").rlike(URL), F.lit("url is no address")),
+        F.when(~C("ip").isin(*record.PROVIDERS), F.lit("ip is not listed")),
+        F.when(~C("status").isin(*record.STATUSES), F.lit("status is not listed")),
+        F.when(~C("labor_type").isin(*record.LABOUR_TYPES), F.lit("labor_type is not listed")),
+    ]
+    return F.array_compact(F.array(*needed, *listed))
+
+
+def checked(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Served rows that fit the schema, and those set apart: (db_id, issue)."""
+    told = rows.withColumn("issues", violations())
+    good = told.filter(F.size("issues") == 0).drop("issues")
+    return good, told.filter(F.size("issues") > 0).select("db_id", F.array_join("issues", "; ").alias("issue"))
+
+
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     """(db_id, change): ids that one corpus has and the other hasn't."""
     a, b = old.select("db_id", F.lit(1).alias("old")), new.select("db_id", F.lit(1).alias("new"))
@@ -103,34 +126,54 @@ def insert_values(rows: DataFrame, numeric: tuple[str, ...] = ("db_id", "vehicle
     return rows.select("db_id", checked.cast("string").alias("values")).withColumn("size", F.length("values"))
 
 
-def insert_statements(rows: DataFrame, name: str, lanes: int, target: int = TARGET, most: int = MOST) -> DataFrame:
-    """(lane, number, statement): INSERTs packed greedily in order of id within each of ``lanes`` ranges of ids.
+def insert_statements(rows: DataFrame, name: str, lanes: int, target: int = TARGET, most: int = MOST, span: int | None = None) -> DataFrame:
+    """(lane, number, statement): INSERTs packed greedily in order of id within each lane.
 
-    A range is one sorted stream, so packing needs the rows of one statement at a time; ranges
-    are independent, and with one lane the order is that of a single file.
+    A lane is one of ``lanes`` ranges of ids, cut where their numbers of rows are alike, or, given
+    a ``span``, the ids from one of its multiples to the next; so lanes are packed side by side,
+    and each is one sorted stream that holds the rows of one statement at a time. With one lane
+    the order is that of a single file.
     """
-    values = insert_values(rows).repartitionByRange(lanes, "db_id").sortWithinPartitions("db_id").withColumn("lane", F.spark_partition_id())
+    values = insert_values(rows)
+    if span is None:
+        values = values.repartitionByRange(lanes, "db_id").withColumn("lane", F.spark_partition_id().cast("long"))
+    else:
+        values = values.withColumn("lane", F.floor(C("db_id") / span)).repartition("lane")
     start = f"INSERT INTO {name} ({', '.join(rows.columns)}) VALUES\n"
 
     def pack(batches: Iterator) -> Iterator:
         import pandas as pd
 
         held: list[str] = []
-        size, number, lane = len(start), 0, 0
+        size, number, lane = len(start), 0, None
         out: list[tuple[int, int, str]] = []
+
+        def closed() -> None:
+            nonlocal held, size, number
+            if held:
+                out.append((lane, number, start + ",\n".join(held) + ";"))
+            held, size, number = [], len(start), number + 1
+
+        def told() -> pd.DataFrame:
+            frame = pd.DataFrame(out, columns=["lane", "number", "statement"])
+            out.clear()
+            return frame
+
         for batch in batches:
-            for lane, text in zip(batch["lane"], batch["values"], strict=True):
+            for at, text in zip(batch["lane"], batch["values"], strict=True):
                 if len(start) + len(text) + 2 > most:
                     raise ValueError(f"a row of {len(text)} characters fits no statement")
-                if held and size + len(text) + 2 > target:
-                    out.append((lane, number, start + ",\n".join(held) + ";"))
-                    held, size, number = [], len(start), number + 1
+                if at != lane:
+                    closed()
+                    lane, number = at, 0
+                elif held and size + len(text) + 2 > target:
+                    closed()
                 held.append(text)
                 size += len(text) + 2
             if out:
-                yield pd.DataFrame(out, columns=["lane", "number", "statement"])
-                out = []
-        if held:
-            yield pd.DataFrame([(lane, number, start + ",\n".join(held) + ";")], columns=["lane", "number", "statement"])
+                yield told()
+        closed()
+        if out:
+            yield told()
 
-    return values.select("lane", "values").mapInPandas(pack, "lane int, number int, statement string")
+    return values.sortWithinPartitions("lane", "db_id").select("lane", "values").mapInPandas(pack, "lane long, number int, statement string")

@@ -16,6 +16,8 @@ from quarry.functions import record
 #: Fixed limits: the least share of held rows that a snapshot must cover, the most that one run may delist.
 LEAST_SHARE, MOST_DELISTED = 0.9, 50
 BLANK_DAYS = 365
+#: Sequence numbers of a run that one task counts.
+BLOCK = 100_000
 
 
 def deduplicated(entries: DataFrame) -> DataFrame:
@@ -130,14 +132,20 @@ def page_gone(status: Column, reason: Column) -> Column:
 def breaker(outcomes: DataFrame, threshold: int = 10) -> DataFrame:
     """Per run, where its fetching stops: the first outcome that ends ``threshold`` transient ones in a row.
 
-    Islands of transient outcomes are numbered by the non-transient ones before them. A run's
-    outcomes are one sequence; runs are independent of each other.
+    How many an outcome ends is its place less the place of the last non-transient one. Both
+    are counted within blocks of a run, and the blocks' counts carried over one row a block, so a
+    long run is dealt over many tasks.
     """
-    order = Window.partitionBy("run_id").orderBy("seq")
-    bad = transient(F.col("http_status"))
-    rows = outcomes.withColumn("bad", bad).withColumn("island", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    length = F.sum(F.col("bad").cast("int")).over(Window.partitionBy("run_id", "island").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("in_row", length)
+    block = F.floor(F.col("seq") / BLOCK)
+    within = Window.partitionBy("run_id", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = outcomes.withColumns({"block": block, "bad": F.coalesce(transient(F.col("http_status")), F.lit(False))}).withColumn("place", F.count("*").over(within))
+    rows = rows.withColumn("good", F.max(F.when(~F.col("bad"), F.col("place"))).over(within))
+    before = Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("run_id", "block").agg(F.count("*").alias("n"), F.max("good").alias("last"))
+    blocks = blocks.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    blocks = blocks.withColumn("carried", F.coalesce(F.max(F.col("offset") + F.col("last")).over(before), F.lit(0))).select("run_id", "block", "offset", "carried")
+    in_row = F.col("offset") + F.col("place") - F.coalesce(F.col("offset") + F.col("good"), F.col("carried"))
+    rows = rows.join(blocks, ["run_id", "block"]).withColumn("in_row", in_row)
     return rows.groupBy("run_id").agg(F.min(F.when(F.col("in_row") >= threshold, F.col("seq"))).alias("stopped_at"), F.max("in_row").cast("long").alias("longest"))
 
 

@@ -369,3 +369,33 @@ ORACLES: dict[str, str] = {
     ),
     "served_readback": corpus("SELECT db_id, ip, CASE WHEN status = 'resolved' THEN 'resolved' ELSE 'pending' END AS status, labor_type FROM corpus"),
 }
+
+SHORT_FORM = "'QIG #' || id || ' (' || strftime(effective, '%-m/%-d/%Y') || ')'"
+LONG_FORM = "concat_ws(', ', 'Quarry Inquiry Gateway inquiry #' || id, 'resolved ' || strftime(resolved_at, '%-m/%-d/%Y'), url)"
+RUNS = f"""{ITEMS}, runs AS (SELECT run_id, CASE WHEN bool_or(state = 'queued') THEN 'running' ELSE 'completed' END AS status, max(db_id) AS index_max_db_id, count(*) AS index_count FROM items GROUP BY run_id)"""
+COHORTS = {"new": "cohort_new", "gaps": "gaps_below_high_water", "changed": "cohort_changed", "unresolved": "unresolved_cohort", "suspected": "suspected_cohort", "trailing": "trailing_window", "delisted": "cohort_delisted", "reappeared": "cohort_reappeared", "queue": "sync_queue"}
+ROW = [
+    "db_id::VARCHAR", *[value(x) for x in ("id", "id", "title", "url", "ip", "inquiry_type", "area_of_vehicle")], "vehicle_year::VARCHAR",
+    *[value(x) for x in ("vehicle_make", "vehicle_model", "body", "labor_type", "issue_summary", "suggested_action", "resolution", "status")],
+    value(iso("submitted_at")), value(iso("resolved_at")), value(iso("effective")), value("'{\"lastSeenAt\":\"' || seen || 'T08:00:00.000Z\"}'"),
+]
+COLUMNS = "db_id, id, inquiry_number, title, url, ip, inquiry_type, area_of_vehicle, vehicle_year, vehicle_make, vehicle_model, body, labor_type, issue_summary, suggested_action, resolution, status, submitted_at, resolved_at, last_updated, metadata"
+HEAD_CHARS = len(f"INSERT INTO inquiry ({COLUMNS}) VALUES\n")
+
+ORACLES |= {
+    "corpus_count": "SELECT count(*) AS n FROM documents",
+    "search_payload": ORACLES["search_coverage"].replace(f"SELECT id, score, {iso('submitted_at')} AS submitted_at,", f"SELECT id, title, url, score, status, {SHORT_FORM.replace('effective', 'coalesce(resolved_at, submitted_at)')} AS citation,", 1),
+    "support_payload": ORACLES["find_supporting_vehicle"].replace(f"SELECT {PARTS},", f"SELECT id, score AS confidence, bigram, unigram, text, ip_ AS ip, vehicle, operation, recency, score AS total, vehicle_year, vehicle_make, vehicle_model, {SHORT_FORM} AS citation,", 1),
+    "connector_documents": ORACLES["document_flatten"].replace("SELECT id,", f"SELECT id, title, url, {SHORT_FORM.replace('effective', 'coalesce(resolved_at, submitted_at)')} AS citation, {LONG_FORM} AS citation_long, ip, status, inquiry_type, area_of_vehicle, vehicle_year, vehicle_make, vehicle_model, {iso('submitted_at')} AS submitted_at, {iso('resolved_at')} AS resolved_at,", 1).replace("AS document", "AS text"),
+    "cohort_report": " UNION ALL ".join(f"SELECT '{name}' AS cohort, count(*) AS n, min(db_id) AS first_id, max(db_id) AS last_id FROM ({ORACLES[q]})" for name, q in COHORTS.items()) + f" UNION ALL SELECT 'blank', count(*), min(db_id), max(db_id) FROM ({raw(blank('2025-05-07'))})",
+    "skipped_items": f"WITH {ITEMS} SELECT db_id, 200 AS http_status, NULL::VARCHAR AS reason FROM items WHERE run_id = 19723 AND state = 'skipped' ORDER BY db_id LIMIT 25",
+    "first_ids": "SELECT doc_id AS db_id FROM documents ORDER BY 1 LIMIT 5",
+    "queue_order": f"WITH {ITEMS} SELECT run_id, db_id, pass FROM items WHERE state = 'queued' ORDER BY pass <> 'new', db_id LIMIT 500",
+    "key_value_upsert": "SELECT coalesce(n.source, h.source) AS key, coalesce(n.top, h.top)::VARCHAR AS value FROM (SELECT source, max(doc_id) AS top FROM documents WHERE doc_id % 3 = 0 AND source IS NOT NULL GROUP BY source) h FULL JOIN (SELECT source, max(doc_id) AS top FROM documents WHERE lang = 'en' AND source IS NOT NULL GROUP BY source) n ON h.source = n.source",
+    "run_lifecycle": f"WITH {RUNS} SELECT run_id, CASE WHEN run_id = 19723 THEN {STAMP} END AS finished_at, 'nightly' AS mode, 300 AS refresh_window, index_max_db_id, index_count, CASE WHEN run_id = 19723 THEN 'interrupted' ELSE status END AS status FROM runs UNION ALL SELECT max(run_id) + 1, NULL, 'catchup', 1000, 90, 80, 'running' FROM runs",
+    "resumable_run": f"WITH {RUNS} SELECT run_id, status FROM runs WHERE status = 'running' ORDER BY run_id DESC LIMIT 1",
+    "high_water_advance": f"WITH {RUNS}, l AS (SELECT count(*) FILTER (WHERE state = 'queued') AS n FROM items WHERE run_id = 19723 AND pass = 'new'), t AS (SELECT index_max_db_id::VARCHAR AS top FROM runs WHERE run_id = 19723) SELECT 'other' AS key, 'x' AS value, unnest([FALSE, TRUE]) AS drained UNION ALL SELECT 'last_id', coalesce(CASE WHEN d OR (SELECT n FROM l) = 0 THEN (SELECT top FROM t) END, '5'), d FROM (SELECT unnest([FALSE, TRUE]) AS d)",
+    "release_dates": f"WITH {DOCS} SELECT db_id, {iso('r')} AS resolved_at, {iso('coalesce(r, s)')} AS last_updated FROM (SELECT db_id, CASE WHEN db_id % 3 <> 0 THEN make_timestamp(2025, db_id % 12 + 1, db_id % 28 + 1, 0, 0, 0.0) END AS r, date_trunc('day', at_) + INTERVAL '9 hours 30 minutes' AS s FROM docs)",
+    "transform_errors": raw(f", {SERVED} SELECT db_id, concat_ws('; ', CASE WHEN db_id % 7 < 2 THEN 'url is no address' END, CASE WHEN db_id % 5 = 0 THEN 'ip is not listed' END) AS issue FROM served WHERE disposition = 'served' AND (db_id % 7 < 2 OR db_id % 5 = 0)"),
+    "load_statements": f"WITH RECURSIVE {CORPUS}, v AS (SELECT db_id // 500 AS lane, row_number() OVER (PARTITION BY db_id // 500 ORDER BY db_id) AS i, length('(' || concat_ws(', ', {', '.join(ROW)}) || ')') + 2 AS n FROM c), p AS (SELECT lane, i, {HEAD_CHARS} + n AS size, 0 AS number FROM v WHERE i = 1 UNION ALL SELECT v.lane, v.i, CASE WHEN p.size + v.n > 80000 THEN {HEAD_CHARS} + v.n ELSE p.size + v.n END, CASE WHEN p.size + v.n > 80000 THEN p.number + 1 ELSE p.number END FROM p JOIN v ON v.lane = p.lane AND v.i = p.i + 1) SELECT lane::BIGINT AS lane, number::INT AS number, (max(size) - 1)::INT AS size FROM p GROUP BY ALL",
+}

@@ -6,7 +6,10 @@ corpus can say about its currency, and keeps small finished results by corpus ve
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import json
+import time
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -14,7 +17,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from time import monotonic
 from typing import Any, Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import freshness, record
@@ -27,6 +30,7 @@ KEEP_SECONDS, KEEP = 3600, 1024
 #: Records from which on find_supporting leaves the texts alone, given a phrase index.
 INDEX_FROM = 1_000_000
 NOUNS = "inquiries"
+NAME, VERSION = "quarry", "0.2.0"
 
 
 class Source(Protocol):
@@ -56,9 +60,50 @@ class Cache:
         return value
 
 
+class SharedCache:
+    """Finished results as files in a folder that several engines share, under a namespace that a new corpus changes.
+
+    Nothing that goes wrong here reaches the caller: a result that can't be read is made again, one
+    that can't be kept is only returned. Results are as JSON gives them back, kept or not.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, namespace: str, seconds: float = KEEP_SECONDS, clock: Callable[[], float] = time.time) -> None:
+        self.spark, self.folder, self.seconds, self.clock = spark, f"{folder.rstrip('/')}/{hashlib.sha256(namespace.encode()).hexdigest()}", seconds, clock
+
+    def _at(self, key: str) -> tuple[Any, Any]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{hashlib.sha256(key.encode()).hexdigest()}.json")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def get(self, key: str, make: Callable[[], Any]) -> Any:
+        with contextlib.suppress(Exception):
+            files, path = self._at(key)
+            if files.exists(path):
+                stream = files.open(path)
+                try:
+                    held = json.loads(bytes(stream.readAllBytes()))
+                finally:
+                    stream.close()
+                if held["key"] == key and self.clock() - held["at"] < self.seconds:
+                    return held["value"]
+        value = make()
+        text = json.dumps({"key": key, "at": self.clock(), "value": value}, default=_plain)
+        with contextlib.suppress(Exception):
+            files, path = self._at(key)
+            stream = files.create(path, True)
+            try:
+                stream.write(bytearray(text.encode()))
+            finally:
+                stream.close()
+        return json.loads(text)["value"]
+
+
+def _plain(value: Any) -> Any:
+    return asdict(value) if isinstance(value, Freshness) else str(value)
+
+
 class Engine:
-    def __init__(self, corpus: DataFrame, found: index.Index | None = None, version: str = "", cache: Cache | None = None, phrases: index.PhraseIndex | None = None) -> None:
-        self.corpus, self.version = corpus, version
+    def __init__(self, corpus: DataFrame | Source, found: index.Index | None = None, version: str = "", cache: Cache | SharedCache | None = None, phrases: index.PhraseIndex | None = None) -> None:
+        self.corpus, self.version = corpus if isinstance(corpus, DataFrame) else corpus.corpus(), version
         self.index, self.phrases = found, phrases
         self.cache = cache or Cache()
 
@@ -72,7 +117,8 @@ class Engine:
             row = freshness.summary(self.corpus).first()
             return Freshness(row["current_through"], row["synced_at"], row["record_count"]) if row else None
 
-        return self._kept("freshness", {}, read)
+        known = self._kept("freshness", {}, read)
+        return Freshness(**known) if isinstance(known, dict) else known
 
     def _dated(self, payload: dict[str, Any], note: str | None = None) -> dict[str, Any]:
         known = self.freshness()
@@ -151,10 +197,11 @@ class Engine:
 
     def fetch_document(self, ident: str | int) -> dict[str, Any]:
         """The connector's fetch: one record as one labelled text; a miss keeps the shape."""
-        row = search.get_by_id(self.corpus, ident).select("id", "title", "url", record.flattened().alias("text"), record.citation().alias("citation"), "status").first()
+        row = documents(search.get_by_id(self.corpus, ident)).first()
         if row is None:
             return {"id": str(ident), "title": "", "text": "", "url": "", "metadata": {"found": False}}
-        return {"id": row["id"], "title": row["title"], "text": row["text"], "url": row["url"], "metadata": {"found": True, "citation": row["citation"]["short_form"], "status": row["status"]}}
+        told = {k: v for k, v in row["metadata"].asDict().items() if v is not None or k == "ip"}
+        return {"id": row["id"], "title": row["title"], "text": row["text"], "url": row["url"], "metadata": {"found": True, **told}}
 
     def describe(self, text: str) -> str:
         """A tool description with the corpus's currency, where it is known."""
@@ -162,7 +209,13 @@ class Engine:
         return f"{text}\n\n{freshness.sentence(known, NOUNS)}" if known else text
 
     def health(self) -> dict[str, Any]:
-        return self._dated({"records": self._size()})
+        """Whether the corpus answers, its size and currency, and whether the version in use is that of its last sync; an error is an answer too."""
+        try:
+            records, known = self._size(), self.freshness()
+        except Exception as error:  # noqa: BLE001
+            return {"ok": False, "error": str(error)}
+        state = {"ok": records > 0, "server": NAME, "version": VERSION, "corpus_version": self.version or None, "corpus_version_stale": self.version != known.synced_at if known else None, "records": records}
+        return self._dated(state)
 
     def _size(self) -> int:
         return self._kept("size", {}, lambda: self.corpus.agg(F.count("*")).first()[0])
@@ -176,6 +229,16 @@ class Engine:
         return self.index
 
 
+def documents(corpus: DataFrame) -> DataFrame:
+    """Records as a connector's documents: id, title, url, the labelled text, and eleven keys of metadata."""
+    cited = record.citation()
+    metadata = F.struct(
+        cited["short_form"].alias("citation"), cited["long_form"].alias("citation_long"), "ip", "status", "inquiry_type", "area_of_vehicle",
+        "vehicle_year", "vehicle_make", "vehicle_model", record.iso(F.col("submitted_at")).alias("submitted_at"), record.iso(F.col("resolved_at")).alias("resolved_at"),
+    )
+    return corpus.select("id", "title", "url", record.flattened().alias("text"), metadata.alias("metadata"))
+
+
 def rounded(value: float) -> float:
     """Three decimals of the exact binary value, halves up: 1.0005, which is a little less, gives 1.0."""
     return float(Decimal(value).quantize(Decimal("0.001"), ROUND_HALF_UP))

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from quarry.functions import freshness, record, text
 from quarry.operators import dml, index, reports, search, serve, support, sync
-from quarry.sources import html, views
+from quarry.plans.engine import documents
+from quarry.sources import html, tables, views
 from quarry.sources.views import NOW, TODAY
+from quarry.streaming import ingest
 
 C = F.col
 QUERY = "thble ertion attion"
 ONE_WORD = "thing"
 MIXED = "r&i thing, the atti"
 WINDOW = 300
+#: Ids of a lane of load statements, and the run that queue queries look at.
+LANE_IDS, RUN = 500, 19723
 STAMP = "2026-05-07T12:00:00.000Z"
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -431,7 +435,7 @@ def load_sizes(s, d):
 @query
 def load_statements(s, d):
     rows = serve.to_rows(views.corpus(s, d))
-    return serve.insert_statements(rows, "inquiry", 1, most=1 << 22).select("lane", "number", F.length("statement").alias("size"))
+    return serve.insert_statements(rows, "inquiry", 1, most=1 << 22, span=LANE_IDS).select("lane", "number", F.length("statement").alias("size"))
 
 
 @query
@@ -483,3 +487,102 @@ def dead_marks(s, d):
 def served_readback(s, d):
     odd = views.corpus(s, d).withColumns({"ip": F.coalesce("ip", F.lit("Other")), "status": F.when(C("status") == "pending", "odd").otherwise(C("status")), "labor_type": F.coalesce("labor_type", F.lit("none"))})
     return serve.coerced(odd).select("db_id", "ip", "status", "labor_type")
+
+
+@query
+def corpus_count(s, d):
+    return views.corpus(s, d).agg(F.count("*").alias("n"))
+
+
+@query
+def search_payload(s, d):
+    hits = search.search(views.corpus(s, d), "Thing ertion, the thble", limit=50)
+    return hits.select(search.hit_payload().alias("h")).select("h.*")
+
+
+@query
+def support_payload(s, d):
+    hits = support.find_supporting(views.corpus(s, d), support.Ask(ONE_WORD, NOW, 2011, "rover", "Sport"), 20)
+    rows = hits.select(support.payload().alias("h")).select("h.id", "h.confidence", "h.breakdown.*", "h.vehicle.*", "h.snippet", "h.citation.short_form")
+    return rows.withColumnRenamed("short_form", "citation")
+
+
+@query
+def connector_documents(s, d):
+    return documents(views.corpus(s, d)).select("id", "title", "url", "text", "metadata.*")
+
+
+@query
+def cohort_report(s, d):
+    return reports.cohorts(_live(s, d), views.raw(s, d), TODAY, WINDOW)
+
+
+@query
+def skipped_items(s, d):
+    return reports.skipped(views.queue_items(s, d), RUN)
+
+
+@query
+def first_ids(s, d):
+    return reports.first_ids(views.corpus(s, d))
+
+
+@query
+def queue_order(s, d):
+    return ingest.drain(views.queue_items(s, d)).select("run_id", "db_id", "pass")
+
+
+def _pairs(s: SparkSession, d: str, where: str) -> DataFrame:
+    """Key/value rows: each source with its greatest document."""
+    docs = views.table(s, d, "documents").filter("source is not null").filter(where)
+    return docs.groupBy(C("source").alias("key")).agg(F.max("doc_id").cast("string").alias("value"))
+
+
+@query
+def key_value_upsert(s, d):
+    return dml.pairs_upserted(_pairs(s, d, "doc_id % 3 = 0"), _pairs(s, d, "lang = 'en'"))
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    """A row a run of the queue's items: open while an item is queued."""
+    items = views.queue_items(s, d)
+    left = F.bool_or(C("state") == "queued")
+    found = items.groupBy("run_id").agg(F.when(left, "running").otherwise("completed").alias("status"), F.max("db_id").alias("index_max_db_id"), F.count("*").alias("index_count"))
+    return found.select("run_id", F.lit(STAMP).alias("started_at"), F.lit(None).cast("string").alias("finished_at"), F.lit("nightly").alias("mode"), F.lit(WINDOW).alias("refresh_window"), "index_max_db_id", "index_count", "status")
+
+
+@query
+def run_lifecycle(s, d):
+    runs = dml.run_finished(dml.run_started(_runs(s, d), "catchup", 1000, 90, 80, STAMP), RUN, "interrupted", STAMP)
+    return runs.select("run_id", "finished_at", "mode", "refresh_window", "index_max_db_id", "index_count", "status")
+
+
+@query
+def resumable_run(s, d):
+    return dml.resumable(_runs(s, d)).select("run_id", "status")
+
+
+@query
+def high_water_advance(s, d):
+    """The mark after each of two syncs: one with new items left, and one in which all were taken."""
+    items, runs = views.queue_items(s, d), _runs(s, d)
+    pairs = s.createDataFrame([("last_id", "5"), ("other", "x")], tables.PAIRS)
+    taken = items.withColumn("state", F.when(C("state") == "queued", "written").otherwise(C("state")))
+    both = [dml.advanced(pairs, x, runs, RUN).withColumn("drained", F.lit(n)) for x, n in ((items, False), (taken, True))]
+    return both[0].unionByName(both[1])
+
+
+@query
+def release_dates(s, d):
+    day = F.concat_ws("/", F.pmod("db_id", F.lit(12)) + 1, F.pmod("db_id", F.lit(28)) + 1, F.lit("2025"))
+    said = F.when(F.pmod("db_id", F.lit(3)) == 0, "as stated").otherwise(F.concat(F.lit("Approved. estimated release date: "), day, F.lit(", or later")))
+    end = "</tbody></table></form>"
+    rows = views.detail_pages(s, d).withColumn("html", F.replace("html", F.lit(end), F.concat(F.lit("<tr><td>Resolution</td><td>"), said, F.lit(f"</td></tr>{end}"))))
+    return html.records(rows).select("db_id", record.iso(C("resolved_at")).alias("resolved_at"), record.iso(C("last_updated")).alias("last_updated"))
+
+
+@query
+def transform_errors(s, d):
+    odd = F.when(F.pmod("db_id", F.lit(7)) == 0, "nowhere").when(F.pmod("db_id", F.lit(7)) == 1, "https:///x").otherwise(C("url"))
+    rows = serve.served(views.raw(s, d)).withColumns({"url": odd, "ip": F.when(F.pmod("db_id", F.lit(5)) == 0, "Other").otherwise(C("ip"))})
+    return serve.checked(rows)[1]

@@ -22,6 +22,17 @@ def write_json(corpus: DataFrame, path: str, dry_run: bool = False) -> None:
         serve.to_rows(corpus).write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
+def write_json_array(corpus: DataFrame, path: str, dry_run: bool = False) -> None:
+    """The corpus as one file with one indented JSON array, by id. One file is one task's output: the records stream through it."""
+    if dry_run:
+        return
+    rows = serve.to_rows(corpus)
+    last = F.broadcast(rows.agg(F.max("db_id").alias("__last")))
+    lines = F.concat(F.to_json(F.struct(*rows.columns), {"pretty": "true", "ignoreNullFields": "true"}), F.when(F.col("db_id") < F.col("__last"), ",").otherwise(""))
+    ends = rows.sparkSession.createDataFrame([(0, None, "["), (2, None, "]")], "part int, db_id long, value string")
+    ends.unionByName(rows.join(last).select(F.lit(1).alias("part"), "db_id", lines.alias("value"))).coalesce(1).sortWithinPartitions("part", "db_id").select("value").write.mode("overwrite").text(path)
+
+
 def write_freshness(corpus: DataFrame, path: str) -> None:
     """The corpus's currency as key/value rows; all rows are replaced."""
     freshness.as_pairs(freshness.summary(corpus)).coalesce(1).write.mode("overwrite").parquet(path)

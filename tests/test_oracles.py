@@ -20,4 +20,4 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 
 
 def test_queries_without_sql_are_known():
-    assert set(REGISTRY) - set(ORACLES) == {"load_statements"}
+    assert set(REGISTRY) - set(ORACLES) == set()
