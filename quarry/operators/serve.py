@@ -104,6 +104,13 @@ def coerced(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"ip": record.one_of(C("ip"), record.PROVIDERS), "status": record.one_of(C("status"), ("resolved", "closed"), "pending"), "labor_type": record.one_of(C("labor_type"), record.LABOUR_TYPES)})
 
 
+def from_rows(rows: DataFrame) -> DataFrame:
+    """Table rows as served records: enumerations checked, ISO texts as instants, metadata as a map; what can't be read is null, or an empty map."""
+    instants = {c: F.coalesce(*[F.try_to_timestamp(C(c), F.lit(f"yyyy-MM-dd'T'HH:mm:ss{part}X")) for part in (".SSS", "")]) for c in ("submitted_at", "resolved_at", "last_updated")}
+    told = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return coerced(rows).withColumns({**instants, "metadata": told})
+
+
 def to_rows(records: DataFrame) -> DataFrame:
     """Served records as table rows, dates as ISO text; an id that isn't digits is an error."""
     good = C("id").rlike("^[0-9]+$")

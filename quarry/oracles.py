@@ -399,3 +399,7 @@ ORACLES |= {
     "transform_errors": raw(f", {SERVED} SELECT db_id, concat_ws('; ', CASE WHEN db_id % 7 < 2 THEN 'url is no address' END, CASE WHEN db_id % 5 = 0 THEN 'ip is not listed' END) AS issue FROM served WHERE disposition = 'served' AND (db_id % 7 < 2 OR db_id % 5 = 0)"),
     "load_statements": f"WITH RECURSIVE {CORPUS}, v AS (SELECT db_id // 500 AS lane, row_number() OVER (PARTITION BY db_id // 500 ORDER BY db_id) AS i, length('(' || concat_ws(', ', {', '.join(ROW)}) || ')') + 2 AS n FROM c), p AS (SELECT lane, i, {HEAD_CHARS} + n AS size, 0 AS number FROM v WHERE i = 1 UNION ALL SELECT v.lane, v.i, CASE WHEN p.size + v.n > 80000 THEN {HEAD_CHARS} + v.n ELSE p.size + v.n END, CASE WHEN p.size + v.n > 80000 THEN p.number + 1 ELSE p.number END FROM p JOIN v ON v.lane = p.lane AND v.i = p.i + 1) SELECT lane::BIGINT AS lane, number::INT AS number, (max(size) - 1)::INT AS size FROM p GROUP BY ALL",
 }
+ORACLES |= {
+    "row_readback": corpus(f"SELECT db_id, ip, status, {iso('submitted_at')} AS submitted_at, {iso('resolved_at')} AS resolved_at, seen || 'T08:00:00.000Z' AS seen FROM corpus"),
+    "scraped_pages": f"SELECT db_id, CASE WHEN db_id % 5 <> 0 THEN title END AS title, CASE WHEN db_id % 5 = 0 THEN 404 END AS http_status FROM ({ORACLES['html_detail_record']})",
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarry.functions import freshness, record, text
 from quarry.operators import dml, index, reports, search, serve, support, sync
 from quarry.plans.engine import documents
-from quarry.sources import html, tables, views
+from quarry.sources import html, scrape, tables, views
 from quarry.sources.views import NOW, TODAY
 from quarry.streaming import ingest
 
@@ -586,3 +586,16 @@ def transform_errors(s, d):
     odd = F.when(F.pmod("db_id", F.lit(7)) == 0, "nowhere").when(F.pmod("db_id", F.lit(7)) == 1, "https:///x").otherwise(C("url"))
     rows = serve.served(views.raw(s, d)).withColumns({"url": odd, "ip": F.when(F.pmod("db_id", F.lit(5)) == 0, "Other").otherwise(C("ip"))})
     return serve.checked(rows)[1]
+
+
+@query
+def row_readback(s, d):
+    rows = serve.from_rows(serve.to_rows(views.corpus(s, d)))
+    return rows.select("db_id", "ip", "status", record.iso(C("submitted_at")).alias("submitted_at"), record.iso(C("resolved_at")).alias("resolved_at"), C("metadata")["lastSeenAt"].alias("seen"))
+
+
+@query
+def scraped_pages(s, d):
+    pages = views.detail_pages(s, d).select("db_id", F.when(F.pmod("db_id", F.lit(5)) == 0, 404).otherwise(200).alias("http_status"), F.when(F.pmod("db_id", F.lit(5)) == 0, "not found").alias("reason"), F.when(F.pmod("db_id", F.lit(5)) != 0, C("html")).alias("html"))
+    good, bad = scrape.of_pages(pages)
+    return good.select("db_id", "title", F.lit(None).cast("int").alias("http_status")).unionByName(bad.select("db_id", F.lit(None).cast("string").alias("title"), "http_status"))

@@ -2,8 +2,8 @@
 
 Every micro-batch is one sync: plan against the table as it stands, refuse an implausible
 snapshot, upsert, mark, and write the next version. Versions are directories that are never
-rewritten; a pointer names the current one, so a lost driver or executor leaves the last
-version whole, and a batch that is run again finds its version already there.
+rewritten, and the last one with Spark's success mark is the current one, so a lost driver or
+executor leaves it whole, and a batch that is run again finds its version already there.
 """
 
 from __future__ import annotations

@@ -275,3 +275,20 @@ def test_makes_are_repaired_once(spark, made):
     n = made.store.versions("raw")
     made.repair_once()
     assert made.store.versions("raw") == n
+
+
+def test_rows_are_read_back_whatever_they_hold(spark):
+    rows = spark.createDataFrame(
+        [(1, "CCC", "odd", None, "2026-05-07T12:00:00.250Z", None, "2026-05-07T12:00:00Z", '{"a":"b"}'), (2, "x", "closed", "paint", "no date", "", None, "{broken")],
+        "db_id long, ip string, status string, labor_type string, submitted_at string, resolved_at string, last_updated string, metadata string",
+    )
+    a, b = serve.from_rows(rows).orderBy("db_id").collect()
+    assert a["ip"] == "CCC" and a["status"] == "pending" and a["submitted_at"].microsecond == 250_000 and a["last_updated"].second == 0 and a["metadata"] == {"a": "b"}
+    assert b["ip"] is None and b["status"] == "closed" and b["submitted_at"] is None and b["resolved_at"] is None and b["metadata"] in ({}, {"a": None})
+
+
+def test_scraping_parts_the_served_from_the_rest(spark):
+    from quarry.sources import scrape
+
+    good, bad = scrape.inquiries(spark.range(1, 4).withColumnRenamed("id", "db_id"), Site({1: page(1), 3: page(3)}), pace=0.0, retries=0)
+    assert sorted(r["db_id"] for r in good.collect()) == [1, 3] and [(r["db_id"], r["http_status"]) for r in bad.collect()] == [(2, 404)]
