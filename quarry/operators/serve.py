@@ -124,12 +124,27 @@ def literal(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("'"), F.replace(column.cast("string"), F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))
 
 
+def refusal(text: Column) -> Column:
+    """What a loader has against a text, or null: control characters, and the phrase that it begins transactions with."""
+    return F.when(text.rlike(ILLEGAL), "control character").when(F.contains(text, F.lit(TRANSACTION)), "transaction phrase")
+
+
+def values_of(rows: DataFrame, numeric: tuple[str, ...] = ("db_id", "vehicle_year")) -> Column:
+    """A row as its VALUES tuple."""
+    parts = [F.coalesce(C(c).cast("string"), F.lit("NULL")) if c in numeric else literal(C(c)) for c in rows.columns]
+    return F.concat(F.lit("("), F.concat_ws(", ", *parts), F.lit(")"))
+
+
+def refusals(rows: DataFrame) -> DataFrame:
+    """(db_id, reason) of the rows that would fail a load."""
+    return rows.select("db_id", refusal(values_of(rows)).alias("reason")).filter("reason is not null")
+
+
 def insert_values(rows: DataFrame, numeric: tuple[str, ...] = ("db_id", "vehicle_year")) -> DataFrame:
     """(db_id, values, size): each row's VALUES tuple; characters and the phrase that a loader rejects fail the job."""
-    parts = [F.coalesce(C(c).cast("string"), F.lit("NULL")) if c in numeric else literal(C(c)) for c in rows.columns]
-    text = F.concat(F.lit("("), F.concat_ws(", ", *parts), F.lit(")"))
-    refused = lambda what: F.raise_error(F.concat(F.lit(f"{what} in row "), C("db_id").cast("string")))
-    checked = F.when(text.rlike(ILLEGAL), refused("control character")).when(F.contains(text, F.lit(TRANSACTION)), refused("transaction phrase")).otherwise(text)
+    text = values_of(rows, numeric)
+    stopped = F.raise_error(F.concat(refusal(text), F.lit(" in row "), C("db_id").cast("string")))
+    checked = F.when(refusal(text).isNotNull(), stopped).otherwise(text)
     return rows.select("db_id", checked.cast("string").alias("values")).withColumn("size", F.length("values"))
 
 

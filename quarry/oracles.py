@@ -403,3 +403,8 @@ ORACLES |= {
     "row_readback": corpus(f"SELECT db_id, ip, status, {iso('submitted_at')} AS submitted_at, {iso('resolved_at')} AS resolved_at, seen || 'T08:00:00.000Z' AS seen FROM corpus"),
     "scraped_pages": f"SELECT db_id, CASE WHEN db_id % 5 <> 0 THEN title END AS title, CASE WHEN db_id % 5 = 0 THEN 404 END AS http_status FROM ({ORACLES['html_detail_record']})",
 }
+ORACLES |= {
+    "load_refusals": "SELECT doc_id AS db_id, CASE WHEN doc_id % 11 = 0 THEN 'control character' ELSE 'transaction phrase' END AS reason FROM documents WHERE doc_id % 11 < 2",
+    "since_beyond_end": corpus("SELECT db_id, coalesce(CASE WHEN db_id % 9 <> 0 THEN strftime(submitted_at + to_days(60), '%Y-%m-%d') END > (SELECT strftime(max(effective), '%Y-%m-%d') FROM c), FALSE) AS beyond FROM c"),
+    "postings_updated": corpus("").rstrip() + ", was AS (SELECT * FROM corpus)" + INDEX.replace("FROM corpus", "FROM now_").replace(", each AS", ", now_ AS (SELECT * REPLACE (CASE WHEN db_id % 3 = 0 THEN 'Amended ' || title ELSE title END AS title) FROM was WHERE db_id % 7 <> 0), each AS", 1) + " SELECT term, db_id, f FROM post",
+}

@@ -599,3 +599,27 @@ def scraped_pages(s, d):
     pages = views.detail_pages(s, d).select("db_id", F.when(F.pmod("db_id", F.lit(5)) == 0, 404).otherwise(200).alias("http_status"), F.when(F.pmod("db_id", F.lit(5)) == 0, "not found").alias("reason"), F.when(F.pmod("db_id", F.lit(5)) != 0, C("html")).alias("html"))
     good, bad = scrape.of_pages(pages)
     return good.select("db_id", "title", F.lit(None).cast("int").alias("http_status")).unionByName(bad.select("db_id", F.lit(None).cast("string").alias("title"), "http_status"))
+
+
+@query
+def load_refusals(s, d):
+    bad = F.when(F.pmod("db_id", F.lit(11)) == 0, F.lit("a\u0007b")).when(F.pmod("db_id", F.lit(11)) == 1, "x BEGIN TRANSACTION y").when(F.pmod("db_id", F.lit(11)) == 2, "tab\tand\nline")
+    rows = serve.to_rows(views.corpus(s, d)).select("db_id", F.coalesce(bad, C("title")).alias("title"))
+    return serve.refusals(rows)
+
+
+@query
+def since_beyond_end(s, d):
+    corpus = views.corpus(s, d)
+    since = F.when(F.pmod("db_id", F.lit(9)) != 0, record.iso(F.timestamp_millis(F.unix_millis("submitted_at") + 86400000 * 60)))
+    known = F.broadcast(freshness.summary(corpus).select("current_through"))
+    return corpus.select("db_id", since.alias("since")).join(known).select("db_id", freshness.beyond_end(C("since"), C("current_through")).alias("beyond"))
+
+
+@query
+def postings_updated(s, d):
+    """The index brought up to date: a third of the records change their title, a seventh go."""
+    corpus = views.corpus(s, d)
+    changed = corpus.select("db_id").filter("db_id % 3 = 0 or db_id % 7 = 0")
+    after = corpus.filter("db_id % 7 != 0").withColumn("title", F.when(F.pmod("db_id", F.lit(3)) == 0, F.concat(F.lit("Amended "), "title")).otherwise(C("title")))
+    return index.updated(index.build(corpus), after, changed).postings
