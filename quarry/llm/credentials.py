@@ -13,7 +13,7 @@ and once backward, that carries the nearest end of every role: one row per part,
 A weak part that overlaps a strong finding is left to that.
 
 Offsets come from the texts between the matches: their lengths and the matches' lengths, summed
-in order. Built-in functions only. One shuffle, of part rows without text, by document.
+in order. Built-in functions only. One shuffle, of the parts without text, by document.
 
 Defined cases: a null or empty text has no parts; a text is scanned whole, whatever its length;
 rows with equal doc_id and text are scanned once and returned as often as they came; equal
@@ -90,10 +90,10 @@ def parts(docs: DataFrame) -> DataFrame:
         docs.select("doc_id", "text")
         .withColumn("th", F.xxhash64(text_of()))
         .withColumn("found", F.concat(*found))
-        .select(*KEY, F.explode(F.concat(marker, "found", F.when(weak, breaks).otherwise(F.array().cast("array<struct<kind:int,pos:int,gap:int,len:int,value:int>>")))).alias("p"))
-        .select(*KEY, "p.*")
+        .select(*KEY, F.concat(marker, "found", F.when(weak, breaks).otherwise(F.array().cast("array<struct<kind:int,pos:int,gap:int,len:int,value:int>>"))).alias("parts"))
     )
-    once = thin.repartition(*KEY).groupBy(*KEY, "kind", "pos", "gap", "len", "value").agg(F.count("*").alias("copies"))
+    # copies of a row are one row of each task before the shuffle
+    once = thin.groupBy(*KEY).agg(F.first("parts").alias("parts"), F.count("*").alias("copies")).select(*KEY, "copies", F.explode("parts").alias("p")).select(*KEY, "copies", "p.*")
     so_far = Window.partitionBy(*KEY, "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("len")).over(so_far)
     return once.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
