@@ -10,8 +10,9 @@ without one keeps all, and only the texts of the others move to meet theirs.
 
 Defined cases: a null or empty text is one empty line; lines without a key are always kept; a
 key repeated inside one document counts that document once; rows with equal doc_id and text
-count as one document and get the same bitmap; an empty table gives an empty table; columns
-beyond doc_id and text are passed on unread.
+count as one document and get the same bitmap, rows that share an id but not the text, or have
+no id, count as documents of their own; texts of any length are read whole; an empty table gives
+an empty table; columns beyond doc_id and text are passed on unread.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from quarry.llm.common import BLANKS, let, lower_ascii, parted, rekeyed, text_of
 
 #: A key found in so many documents is repeated text.
 MIN_DOCS = 10
-#: Parts that the documents of one key are dealt over before they are sorted.
+#: Parts that the documents of one key are dealt over before they are sorted, where there are no more partitions.
 BLOCKS = 64
 KEY = ["h1", "h2"]
 RUNS = "array<struct<start:int,len:int>>"
@@ -52,8 +53,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, keep_first: bool = F
     Lines whose key occurs in ``min_docs`` documents go, all of them, or all but the first
     occurrence by (doc_id, text hash, position) if ``keep_first``.
     """
-    block = F.pmod(F.xxhash64("doc_id", "th"), F.lit(BLOCKS)).cast("int")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.pmod(F.xxhash64("doc_id", "th"), F.lit(max(BLOCKS, n))).cast("int")
     found = written(occurrences(docs), "occurrences")
     ranged = found.withColumn("block", block).repartitionByRange(n, *KEY, "block")
     stream = Window.partitionBy(*KEY, "block").orderBy("doc_id", "th", "pos")

@@ -63,10 +63,10 @@ r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN t
 SELECT doc_id, size, source_size, target, ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r"""
 
 OP10 = f"""
-WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, pos, line, translate(trim(line, {BLANKS}), '{UPPER}', '{LOWER}') AS key FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM t)),
-k AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= {linededup.MIN_DOCS})
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, md5(coalesce(text, '')) AS th, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT row, doc_id, th, pos, line, translate(trim(line, {BLANKS}), '{UPPER}', '{LOWER}') AS key FROM (SELECT row, doc_id, th, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM t)),
+k AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT (doc_id, th)) >= {linededup.MIN_DOCS})
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FROM k)) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key NOT IN (SELECT key FROM k)), '')) AS kept_sha256 FROM l GROUP BY doc_id"""
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key NOT IN (SELECT key FROM k)), '')) AS kept_sha256 FROM l GROUP BY row, doc_id"""
 
 ORACLES = {"op1_quality_rules": OP1, "op7_minhash_dedup": OP7, "op9_mixing": OP9, "op10_line_dedup": OP10}

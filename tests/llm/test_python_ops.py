@@ -384,7 +384,8 @@ def test_pipeline_stages(spark, sf_dir, library):
     columns = docs["documents"].columns
     assert [f.columns for f in frames[:-1]] == [columns] * 4
     kept, lines, near, mixed, tokens = ([r.asDict() for r in f.collect()] for f in frames)
-    assert all(not brute.quality(r["text"])[5] or True for r in kept) and 0 < len(kept) < docs["documents"].count() and len(lines) == len(kept)
+    whole = {r["doc_id"]: r["text"] for r in docs["documents"].collect()}
+    assert all(not brute.quality(whole[r["doc_id"]])[5] for r in kept) and 0 < len(kept) < docs["documents"].count() and len(lines) == len(kept)
     sets = {r["doc_id"]: brute.shingles(r["text"], 5) for r in lines}
     groups = brute.components(sets, 80)
     assert {r["doc_id"] for r in near} == {i for i, c in groups.items() if i == c}
@@ -402,6 +403,7 @@ def test_pipeline_on_odd_documents(spark, make, tmp_path):
     rows = [(i, prose.format(i) + "\nA line that all of them have in common, word for word.", "en", "s") for i in range(12)] + [(None, None, None, None), (20, "", None, None), (21, "x " * 30_000, None, None), (3, prose.format(3), "en", None)]
     folder = tmp_path / "sf"
     make(rows).write.parquet(str(folder / "documents.parquet"))
-    assert corpus_pipeline.run(spark, str(folder)).count() >= 12
+    out = corpus_pipeline.run(spark, str(folder))
+    assert {r["doc_id"] for r in out.collect()} == set(range(12)) and out.count() >= 12
     make([]).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
