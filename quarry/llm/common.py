@@ -50,15 +50,15 @@ def rekeyed(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
 
 
-#: Bits of the filter of ``parted``: 16 MB, whatever the number of values.
-FILTER_BITS, BUCKET_BITS = 1 << 27, 1 << 15
+#: Bits of the filter of ``parted``: 4 MB, whatever the number of values.
+FILTER_BITS, BUCKET_BITS = 1 << 25, 1 << 15
 
 
 def parted(df: DataFrame, columns: list[str], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of ``df`` whose ``columns`` may be a row of ``wanted``, all that are and few others, and the rows that surely are none.
 
     The hashes of the wanted rows set bits of a bitmap of a fixed size, whose parts are broadcast,
-    so the second part needs no join. Beyond some hundred millions of wanted rows most bits are
+    so the second part needs no join. Beyond some ten millions of wanted rows most bits are
     set, and most rows are in the first part; the join that follows decides in any case.
     """
 

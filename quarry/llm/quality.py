@@ -5,7 +5,7 @@ removed, and a document that loses too much of its text is rejected, as is one t
 base rules (too few words, too much repetition). All of it is per row and inside the JVM.
 
 Defined cases: a null text has no words and is rejected; blank lines neither fail nor count;
-equal texts get equal verdicts; an empty table gives an empty table; other columns pass through,
+equal texts get equal verdicts; texts of any length are read whole; an empty table gives an empty table; other columns pass through,
 those named like a result are replaced by it.
 """
 
