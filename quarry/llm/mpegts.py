@@ -147,7 +147,9 @@ def demux(stream: bytes) -> Stream:
         if begins:
             if pid in sections:
                 got.errors += bool(read(pid, sections.pop(pid) + body[1 : 1 + body[0]]))
-            sections[pid] = read(pid, body[1 + body[0] :])
+            begun = body[1 + body[0] :]
+            got.errors += begun[:1] in (b"", b"\xff")  # the pointer shows filling where a section should begin
+            sections[pid] = read(pid, begun)
         elif pid in sections:
             sections[pid] = read(pid, sections[pid] + body)
         if not sections.get(pid, b"x"):
