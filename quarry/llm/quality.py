@@ -98,13 +98,14 @@ def measured(docs: DataFrame) -> DataFrame:
         return F.struct(chars(js, True).alias("lost_chars"), chars(js, False).alias("line_chars"), F.array_join(kept, "\n").alias("clean_text"))
 
     repeated_lines = let(with_word(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    out = docs.withColumns({
-        "__words": let(words_of(text), body),
+    # a generated row is worked out once, however many results and filters read it
+    both = F.struct(let(words_of(text), body).alias("words"), let(judged, verdict).alias("lines"))
+    out = docs.withColumn("__all", F.explode_outer(F.array(both))).withColumns({
         "word_chars": F.length(blankless).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         "n_dup_lines": repeated_lines.cast("long"),
-        "__lines": let(judged, verdict),
+        **{c: F.col(f"__all.words.{c}") for c in ("n_words", "n_repeat_words")},
+        **{c: F.col(f"__all.lines.{c}") for c in ("lost_chars", "line_chars", "clean_text")},
     })
-    out = out.withColumns({"n_words": F.col("__words.n_words"), "n_repeat_words": F.col("__words.n_repeat_words"), "lost_chars": F.col("__lines.lost_chars"), "line_chars": F.col("__lines.line_chars"), "clean_text": F.col("__lines.clean_text")})
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST * F.col("line_chars"))).drop("__words", "__lines")
+    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST * F.col("line_chars"))).drop("__all")
