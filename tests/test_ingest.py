@@ -63,6 +63,14 @@ def test_cohorts(spark):
     assert ids(sync.queue(now, held, "2026-05-07", 2, index_only=True)) == [1, 6, 9]
 
 
+def test_report_and_queue_count_blank_rows_over_the_same_year(spark):
+    days = {1: "2025-05-06", 2: "2025-05-07", 3: "2024-05-07", 4: None, 5: "2026-04-01"}
+    held = raw(spark, *[{"db_id": n, "status": "Resolved", "resolution_status": "resolved", "resolution": "", "resolution_date": day} for n, day in days.items()])
+    now = live(spark, *[(n, "Resolved", day) for n, day in days.items()])
+    report = {r["cohort"]: tuple(r)[1:] for r in reports.cohorts(now, held, views.TODAY, 0).collect()}
+    assert report["blank"] == report["queue"] == (3, 2, 5)  # 365 days back from 2026-05-07, that day included
+
+
 @pytest.mark.parametrize(("held", "got", "gone", "ok"), [(1000, 900, 0, True), (1000, 899, 0, False), (0, 0, 0, True)])
 def test_sanity_share(spark, held, got, gone, ok):
     h = raw(spark, *[{"db_id": i, "delisted_at": None} for i in range(held)])
